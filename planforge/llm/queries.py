@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from . import mixing, url_filter
+from .mixing import op2_mixing
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
+from .url_filter import op10_url_filter
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
