@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from . import mixing, url_filter
+from .decontaminate import op5_decontaminate
+from .language import op7_language
 from .mixing import op2_mixing
+from .quality import op6_quality
+from .sharding import op8_sharding
 from .substring_dedup import op9_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
 from .url_filter import op10_url_filter
@@ -11,6 +15,10 @@ from .url_filter import op10_url_filter
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
+    "op8_sharding": op8_sharding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
 }
