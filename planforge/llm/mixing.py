@@ -67,6 +67,31 @@ def _descend(slim: DataFrame, open_: DataFrame, level: int) -> DataFrame:
     return over.select("key", F.col("m.bucket").alias("prefix"), F.col("m.rest").alias("rest"), F.col("m.words").alias("words"))
 
 
+def _hash(id_col: str) -> Column:
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.shiftright(h, 60 - BITS * LEVELS)
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(id_col).alias("h"))
+    return materialize(slim.withColumn("key", _key("source")), "mixing-sizes")
+
+
+def _plan(slim: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
+    """One row per source: key, source_size, target, full copies, and the hash threshold of the partial one."""
+    sizes = slim.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(sizes, weights, max_repeats), "mixing-targets")
+    open_ = targets.where("rest > 0").select("key", F.lit(0).cast("long").alias("prefix"), "rest")
+    for level in range(1, LEVELS + 1):
+        open_ = materialize(_descend(slim, open_, level), f"mixing-level{level}")
+    edge = open_.select("key", (F.col("prefix") + F.when(F.col("words") - F.col("rest") < F.col("rest"), 1).otherwise(0)).alias("threshold"))
+    return materialize(targets.join(edge, "key", "left"), "mixing-plan")
+
+
+def _copies() -> Column:
+    return F.col("full") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """How many words of each document a mix of all sources takes.
 
@@ -85,21 +110,22 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     together.  An empty table gives no rows; a source without words has target
     0.  Further columns of ``docs`` are not read.
     """
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.shiftright(h, 60 - BITS * LEVELS).alias("h"))
-    slim = materialize(slim.withColumn("key", _key("source")), "mixing-sizes")
-    sizes = slim.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, max_repeats), "mixing-targets")
-    open_ = targets.where("rest > 0").select("key", F.lit(0).cast("long").alias("prefix"), "rest")
-    for level in range(1, LEVELS + 1):
-        open_ = materialize(_descend(slim, open_, level), f"mixing-level{level}")
-    edge = open_.select("key", (F.col("prefix") + F.when(F.col("words") - F.col("rest") < F.col("rest"), 1).otherwise(0)).alias("threshold"))
-    plan = materialize(targets.join(edge, "key", "left"), "mixing-plan")
-    copies = F.col("full") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    out = slim.join(plan, "key", "left").withColumn("copies", copies)
+    slim = _sizes(docs, id_col, text_col, source_col)
+    out = slim.join(_plan(slim, weights, max_repeats), "key", "left").withColumn("copies", _copies())
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: each row of ``docs``, all its columns, as often as :func:`mix_sources` takes it."""
+    plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, max_repeats)
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    plan = plan.select(F.col("key").alias("mix_key"), F.col("full").alias("mix_full"), F.col("threshold").alias("mix_threshold"))
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), _key(source_col).alias("mix_key"), _hash(id_col).alias("mix_h"))
+    taken = F.col("mix_full") + F.when(F.col("mix_h") < F.col("mix_threshold"), 1).otherwise(0)
+    repeated = keyed.join(plan, "mix_key").withColumn("taken", taken.cast("int")).where("taken > 0")
+    return repeated.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("taken")))).select(*columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing, url_filter
 from .decontaminate import op5_decontaminate
 from .language import op7_language
+from .minhash import op3_minhash
 from .mixing import op2_mixing
 from .quality import op6_quality
 from .sharding import op8_sharding
@@ -14,6 +15,7 @@ from .url_filter import op10_url_filter
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_minhash": op3_minhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
