@@ -32,37 +32,38 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     return h
 
 
-def _send(rows: int, buckets: int):
-    """Packs a batch's band entries by bucket: (h, node) sorted, one entry per hash.
+def pack_bands(h: np.ndarray, node: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Band entries (h, node) of a batch packed by bucket, one entry per hash.
 
     Nodes of the batch that share a hash follow its smallest node there and go
     along beside, in a bucket drawn from the batch: a hot hash costs one entry
     per batch.
     """
+    order = np.lexsort((node, h))
+    h, node = h[order], node[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    group = np.cumsum(new) - 1
+    lead = node[new][group] if len(h) else node
+    local = (lead != node)
+    local |= np.bincount(group, weights=local)[group] > 0 if len(h) else local
+    hs, ns = h[new], node[new]
+    bucket = ((hs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cut = np.searchsorted(bucket, np.arange(buckets + 1))
+    out = [(b, pack(np.diff(hs[i:j], prepend=np.uint64(0)), ns[i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+    if local.any():
+        out.append((buckets + int(ns[0] % buckets), pack(h[local], node[local], lead[local])))
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
+
 
+def _send(rows: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy()
-            if not len(node):
-                continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(node), -1)
-            h = band_hashes(sig, rows)
-            node = np.repeat(node, h.shape[1])
-            h = h.ravel()
-            order = np.lexsort((node, h))
-            h, node = h[order], node[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = h[1:] != h[:-1]
-            group = np.cumsum(new) - 1
-            lead = node[new][group]
-            local = np.bincount(group)[group] > 1
-            bucket = ((h[new] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            hs, ns = h[new], node[new]
-            out = [(b, pack(np.diff(hs[i:j], prepend=np.uint64(0)), ns[i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-            if local.any():
-                out.append((buckets + int(ns[0] % buckets), pack(h[local], node[local], lead[local])))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
+            if len(node):
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(node), -1)
+                h = band_hashes(sig, rows)
+                yield pack_bands(h.ravel(), np.repeat(node, h.shape[1]), buckets)
 
     return run
 
@@ -83,18 +84,26 @@ def _answer(buckets: int):
             new = np.ones(len(h), dtype=bool)
             new[1:] = h[1:] != h[:-1]
             group = np.cumsum(new) - 1
-            several = np.bincount(group)[group] > 1
-            h, lead, node = h[several], node[new][group][several], node[several]
+            lead = node[new][group]
+            several = np.bincount(group, weights=lead != node)[group] > 0  # batches may repeat a node
+            h, lead, node = h[several], lead[several], node[several]
         return pa.table({"h": h.view(np.int64), "node": node, "leader": lead})
 
     return run
 
 
-def band_members(nodes: DataFrame, rows: int, bands: int) -> DataFrame:
+PACKED_DDL = "bucket long, blob binary"
+
+
+def band_members(packed: DataFrame, buckets: int) -> DataFrame:
     """(h, node, leader) of the nodes that share a band with another; rows may repeat."""
-    spark = nodes.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * bands // BUCKET_ROWS)
-    return nodes.mapInArrow(_send(rows, buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_answer(buckets), MEMBER_DDL)
+    return packed.groupBy("bucket").applyInArrow(_answer(buckets), MEMBER_DDL)
+
+
+def signature_members(nodes: DataFrame, rows: int, bands: int) -> DataFrame:
+    """band_members of (node, sig)."""
+    buckets = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * bands // BUCKET_ROWS)
+    return band_members(nodes.mapInArrow(_send(rows, buckets), PACKED_DDL), buckets)
 
 
 def _signature_check(similarity: float, minima: int):
@@ -128,12 +137,13 @@ def _exact_check(sets: Callable[[K.Chunk], tuple[np.ndarray, np.ndarray, np.ndar
     return run
 
 
-def linked_classes(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, *, rows: int, bands: int, percent: int, what: str) -> DataFrame:
+def linked_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, *, percent: int, what: str, nodes: DataFrame | None = None, minima: int = 0) -> DataFrame:
     """(node, component) of the nodes linked to another at ``percent`` similarity.
 
-    ``nodes`` (node, sig): written, one row per node.  ``texts``: from a table
-    of nodes to their (node, text).  ``sets``: the distinct shingles of a
-    chunk's texts, for the exact check.
+    ``members``: see :func:`band_members`.  ``texts``: from a table of nodes to
+    their (node, text).  ``sets``: the distinct shingles of a chunk's texts, for
+    the exact check.  ``nodes`` (node, sig), written, one row per node: if
+    given, signatures of ``minima`` values are compared before texts are.
 
     Each node's best leader is checked first, by signature and then on the full
     sets, and gives first components.  Then, in each bucket with several
@@ -143,14 +153,17 @@ def linked_classes(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], se
     """
 
     def verified(pairs: DataFrame, step: str) -> DataFrame:
-        checked = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        checked = materialize(checked.select("a", "b", "sig_a", "sig_b").mapInArrow(_signature_check(percent / 100, rows * bands), "a long, b long"), f"{what}-{step}-signed")
+        checked = pairs
+        if nodes is not None:
+            checked = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+            checked = checked.select("a", "b", "sig_a", "sig_b").mapInArrow(_signature_check(percent / 100, minima), "a long, b long")
+            checked = materialize(checked, f"{what}-{step}-signed")
         needed = materialize(checked.select(F.col("a").alias("node")).union(checked.select("b")).distinct(), f"{what}-{step}-needed")
         text = materialize(texts(needed), f"{what}-{step}-texts")
         full = checked.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_exact_check(sets, percent), "a long, b long"), f"{what}-{step}-links")
 
-    members = materialize(band_members(nodes, rows, bands), f"{what}-bands")
+    members = materialize(members, f"{what}-bands")
     best = members.where("node != leader").groupBy("leader", "node").count().groupBy("node").agg(F.max(F.struct("count", "leader")).alias("m"))
     first = materialize(best.select(F.col("m.leader").alias("a"), F.col("node").alias("b")), f"{what}-first")
     links = verified(first, "first")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .banding import linked_classes
+from .banding import linked_classes, signature_members
 from .storage import materialize
 
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 shares no band with probability 5e-8
@@ -97,7 +97,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def texts(needed: DataFrame) -> DataFrame:
         return base.select(F.col("row").alias("node"), "text").join(needed, "node").dropDuplicates(["node"])
 
-    named = linked_classes(nodes.select("node", "sig"), texts, lambda c: shingle_sets(c, words), rows=ROWS, bands=BANDS, percent=percent, what="minhash")
+    signed = nodes.select("node", "sig")
+    named = linked_classes(signature_members(signed, ROWS, BANDS), texts, lambda c: shingle_sets(c, words), percent=percent, what="minhash", nodes=signed, minima=BANDS * ROWS)
     classed = nodes.select("s1", "s2", "id", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classed = materialize(classed.select("s1", "s2", "id", "component"), "minhash-classed")
     least = materialize(classed.groupBy("component").agg(F.min("id").alias("component_id")), "minhash-least")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing, url_filter
 from .decontaminate import op5_decontaminate
 from .language import op7_language
+from .line_dedup import op1_line_dedup
 from .minhash import op3_minhash
 from .mixing import op2_mixing
 from .quality import op6_quality
@@ -14,6 +15,7 @@ from .suffix_dedup import op4_suffix_dedup
 from .url_filter import op10_url_filter
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_minhash": op3_minhash,
     "op4_suffix_dedup": op4_suffix_dedup,
