@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240607)
 _BYTE_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,13 +51,12 @@ _BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_BASE2)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64: spreads every input bit over the output."""
-    h = h ^ (h >> np.uint64(30))
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return h
+    """A bijection that carries every input bit into the high bits."""
+    out = h >> np.uint64(32)
+    out ^= h
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 @dataclass
@@ -142,15 +141,30 @@ def byte_prefix(data: np.ndarray) -> np.ndarray:
     """C with C[j] - C[i] = sum of T[b] * base**position over [i, j)."""
     up, _ = _BYTE_POWERS.upto(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_TABLE[data] * up[:-1], out=out[1:])
+    terms = _BYTE_TABLE[data]
+    terms *= up[:-1]
+    np.cumsum(terms, out=out[1:])
     return out
 
 
 def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers = _BYTE_POWERS) -> np.ndarray:
     """Position-independent hash of each range, length included."""
     _, down = powers.upto(len(prefix))
-    h = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    h = prefix[ends]
+    h -= prefix[starts]
+    h *= down[starts]
+    h += (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    return mix(h)
+
+
+def gram_hashes(prefix: np.ndarray, width: int, powers: _Powers = _BYTE_POWERS) -> np.ndarray:
+    """range_hash of every range of ``width`` positions."""
+    n = max(0, len(prefix) - width)
+    _, down = powers.upto(len(prefix))
+    h = prefix[width:] - prefix[:n]
+    h *= down[:n]
+    h += np.uint64(width * 0x632BE59BD9B4E019 % (1 << 64))
+    return mix(h)
 
 
 def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
@@ -169,6 +183,10 @@ def token_range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     return range_hash(prefix, starts, ends, _WORD_POWERS)
 
 
+def token_gram_hashes(prefix: np.ndarray, width: int) -> np.ndarray:
+    return gram_hashes(prefix, width, _WORD_POWERS)
+
+
 def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     """op over each window of ``width`` values; len(values) - width + 1 results."""
     have, out = 1, values
@@ -189,9 +207,8 @@ def winnow(order: np.ndarray, window_ok: np.ndarray, width: int) -> np.ndarray:
     n = len(order)
     if n < width:
         return np.zeros(0, dtype=np.int64)
-    least = np.where(window_ok[: n - width + 1], sliding(order, width, np.minimum), np.uint64(0))
     padded = np.zeros(n + width - 1, dtype=np.uint64)
-    padded[width - 1 : n] = least
+    np.multiply(sliding(order, width, np.minimum), window_ok[: n - width + 1], out=padded[width - 1 : n])
     return np.flatnonzero((sliding(padded, width, np.maximum) == order) & (order > 0))
 
 

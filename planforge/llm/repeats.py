@@ -170,17 +170,21 @@ class Run:
         """Hashes of all seed-grams, which windows are whole, and the ends of each position's document."""
         prefix, starts, ends, ranged, _ = self.tokens(c)
         n = len(prefix) - 1
-        end = np.repeat(ends, ends - starts)
-        at = np.arange(max(0, n - self.spec.seed + 1))
-        whole = np.arange(n) + self.spec.length <= end
-        return prefix, starts, end, ranged, ranged(prefix, at, at + self.spec.seed), whole
+        size = ends - starts
+        tail = np.zeros(n + 1, dtype=np.int8)  # the last length - 1 positions of a document start no window
+        some = size > 0
+        tail[np.maximum(starts, ends - self.spec.length + 1)[some]] = 1
+        tail[ends[some]] -= 1
+        whole = np.cumsum(tail[:n], dtype=np.int8) == 0
+        grams = K.gram_hashes if self.spec.unit == "byte" else K.token_gram_hashes
+        return prefix, starts, ends, ranged, grams(prefix, self.spec.seed), whole
 
     def _anchors(self, c: K.Chunk):
         s = self.spec
-        prefix, starts, end, ranged, grams, whole = self.grams(c)
+        prefix, starts, ends, ranged, grams, whole = self.grams(c)
         a = K.winnow(grams, whole, s.width)
         at = np.searchsorted(starts, a, side="right") - 1
-        lo, hi = np.maximum(a - (s.width - 1), starts[at]), np.minimum(a + s.length, end[a])
+        lo, hi = np.maximum(a - (s.width - 1), starts[at]), np.minimum(a + s.length, ends[at])
         ctx = ranged(prefix, lo, hi) | np.uint64(1)  # never MIXED
         if s.unit == "word":
             digits = [grams[a]]
@@ -325,7 +329,7 @@ class Resolved:
     def windows(self, c: K.Chunk):
         """(hash, document row, start in chunk, doc id) of the undecided windows; covered windows' (start, owner)."""
         r, s = self.run, self.run.spec
-        prefix, starts, end, ranged, grams, whole = r.grams(c)
+        prefix, starts, _, ranged, grams, whole = r.grams(c)
         n = len(whole)
         owner = np.full(n, NO_DOC)
         mine = (self.row >= c.first) & (self.row < c.first + len(c))
@@ -341,8 +345,11 @@ class Resolved:
         least = K.sliding(grams, s.width, np.minimum)
         at = np.flatnonzero(whole[: len(least)] & (owner[: len(least)] == NO_DOC))
         v = least[at]
-        pos = np.searchsorted(self.varied, v)
-        at = at[self.varied[np.minimum(pos, len(self.varied) - 1)] == v]
+        fresh = np.ones(len(v), dtype=bool)  # neighbouring windows mostly share their anchor: look up each once
+        fresh[1:] = v[1:] != v[:-1]
+        known = v[fresh]
+        pos = np.searchsorted(self.varied, known)
+        at = at[(self.varied[np.minimum(pos, len(self.varied) - 1)] == known)[np.cumsum(fresh) - 1]]
         doc = np.searchsorted(starts, at, side="right") - 1
         return (ranged(prefix, at, at + s.length), c.first + doc, at, r.ids[c.first + doc]), owner, starts
 
@@ -351,22 +358,31 @@ class Resolved:
 
 
 def _window_entries(res: Resolved):
-    """Sorted distinct window hashes of the run with their smallest document."""
-    h, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    """The run's undecided windows: (sorted distinct hashes, smallest document of each, entry of each window, per chunk).
+
+    Per chunk: (chunk, undecided starts, their documents, covered starts, their owners).
+    """
+    h, d, per_chunk = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
     for c in res.run.chunks():
-        (hashes, _, _, doc), _, _ = res.windows(c)
+        (hashes, _, at, doc), owner, _ = res.windows(c)
         h.append(hashes)
         d.append(doc)
+        covered = np.flatnonzero(owner < NO_DOC)
+        per_chunk.append((c, at, doc, covered, owner[covered], len(owner)))
     h, d = np.concatenate(h), np.concatenate(d)
     order = np.argsort(h, kind="stable")
     h, d = h[order], d[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.minimum.reduceat(d, first) if len(h) else d
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    first = np.flatnonzero(new)
+    entry = np.empty(len(h), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    return h[first], np.minimum.reduceat(d, first) if len(h) else d, entry, per_chunk
 
 
 def windows_send(spec: Spec, run: int, docs: pa.Table, flags: pa.Table) -> pa.Table:
     r = Run(spec, docs)
-    h, d = _window_entries(Resolved(r, _answers(flags)))
+    h, d, *_ = _window_entries(Resolved(r, _answers(flags)))
     cut = _bucketed(r, h)
     return _rows(run, [(b, pack(np.diff(h[i:j], prepend=np.uint64(0)), d[i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
 
@@ -401,18 +417,17 @@ def result_rows(spec: Spec, docs: pa.Table, flags: pa.Table) -> pa.Table:
     r = Run(spec, docs)
     answers = _answers(flags)
     res = Resolved(r, answers)
-    own_h, own_d = _window_entries(res)
+    own_h, own_d, entry, per_chunk = _window_entries(res)
     for _, (delta, best) in sorted(answers["windows"].items()):
-        at = np.searchsorted(own_h, np.cumsum(delta, dtype=np.uint64))
-        own_d[at] = best
-    out = []
-    for c in r.chunks():
-        (h, row, at, doc), owner, starts = res.windows(c)
-        if len(h):
-            best = own_d[np.searchsorted(own_h, h)]
-            hit = best < doc
-            owner[at[hit]] = best[hit]
-        out.append(_chunk_rows(spec, r, c, owner))
+        own_d[np.searchsorted(own_h, np.cumsum(delta, dtype=np.uint64))] = best
+    out, done = [], 0
+    for c, at, doc, covered, who, n in per_chunk:
+        best = own_d[entry[done : done + len(at)]]
+        done += len(at)
+        hit = best < doc
+        starts, owners = np.concatenate([covered, at[hit]]), np.concatenate([who, best[hit]])
+        order = np.argsort(starts, kind="stable")
+        out.append(_chunk_rows(spec, r, c, starts[order], owners[order], n))
     return pa.concat_tables(out) if out else RESULT.empty_table()
 
 
@@ -420,11 +435,11 @@ RESULT = pa.schema([("id", pa.int64()), ("n_units", pa.int64()), ("n_removed", p
 RESULT_DDL = "id long, n_units long, n_removed long, n_spans long, factors array<struct<start: long, length: long, ref_id: long>>, kept binary"
 
 
-def _chunk_rows(spec: Spec, r: Run, c: K.Chunk, owner: np.ndarray) -> pa.Table:
+def _chunk_rows(spec: Spec, r: Run, c: K.Chunk, hit: np.ndarray, owner: np.ndarray, n: int) -> pa.Table:
+    """``hit``: the starts of repeated windows in order, with the document that owns each."""
     word = K.words(c) if spec.unit == "word" else None
     starts, ends = (word.first[:-1], word.first[1:]) if word else (c.starts, c.ends)
-    n, rows = len(owner), len(c)
-    hit = np.flatnonzero(owner < NO_DOC)
+    rows = len(c)
     gone = K.set_bits(n, hit, np.minimum(hit + spec.length, n)) if len(hit) else np.zeros(n, bool)
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[ends] - total[starts]
@@ -437,10 +452,10 @@ def _chunk_rows(spec: Spec, r: Run, c: K.Chunk, owner: np.ndarray) -> pa.Table:
     # factors: consecutive windows with one owner in one document
     doc = np.searchsorted(starts, hit, side="right") - 1
     cut = np.ones(len(hit), dtype=bool)
-    cut[1:] = (np.diff(hit) != 1) | (owner[hit[1:]] != owner[hit[:-1]]) | (doc[1:] != doc[:-1])
+    cut[1:] = (np.diff(hit) != 1) | (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
     f = np.flatnonzero(cut)
     last = (np.append(f[1:], len(hit)) - 1)[: len(f)]
-    factor = pa.StructArray.from_arrays([pa.array(hit[f] - starts[doc[f]]), pa.array(hit[last] - hit[f] + spec.length), pa.array(owner[hit[f]])], ["start", "length", "ref_id"])
+    factor = pa.StructArray.from_arrays([pa.array(hit[f] - starts[doc[f]]), pa.array(hit[last] - hit[f] + spec.length), pa.array(owner[f])], ["start", "length", "ref_id"])
     if word is None:
         kept, sizes = c.data[~gone], (ends - starts) - removed
     else:  # kept words joined by one space
