@@ -198,18 +198,33 @@ def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return out
 
 
-def winnow(order: np.ndarray, window_ok: np.ndarray, width: int) -> np.ndarray:
-    """Positions that are the minimum of some valid window of ``width`` values.
+_LOW = np.uint64(63)
+_PLACES = np.arange(1 << 19, dtype=np.uint64) & _LOW
 
-    ``window_ok[j]`` says whether window ``[j, j+width)`` counts.  Equal windows
-    select equal relative positions wherever they occur (all ties are taken).
+
+def minimizers(h: np.ndarray, window_ok: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first window, end of windows): the least hash of each valid window of ``width`` values.
+
+    ``window_ok[j]`` says whether window ``[j, j+width)`` counts; width is under
+    64.  The low bits of the compared keys hold the place, so that the minimum
+    tells its position; consecutive windows share it, and each position is
+    listed once.  Equal windows have minima of equal hashes.
     """
-    n = len(order)
+    n = len(h)
     if n < width:
-        return np.zeros(0, dtype=np.int64)
-    padded = np.zeros(n + width - 1, dtype=np.uint64)
-    np.multiply(sliding(order, width, np.minimum), window_ok[: n - width + 1], out=padded[width - 1 : n])
-    return np.flatnonzero((sliding(padded, width, np.maximum) == order) & (order > 0))
+        return (np.zeros(0, np.int64),) * 3
+    key = h & ~_LOW
+    key |= _PLACES[:n] if n <= len(_PLACES) else np.arange(n, dtype=np.uint64) & _LOW
+    least = sliding(key, width, np.minimum)
+    ok = window_ok[: len(least)]
+    cut = np.ones(len(least), dtype=bool)
+    np.not_equal(least[1:], least[:-1], out=cut[1:])
+    cut[1:] |= ok[1:] != ok[:-1]
+    start = np.flatnonzero(cut)
+    end = np.append(start[1:], len(least))
+    keep = ok[start]
+    start, end = start[keep], end[keep]
+    return start + (((least[start] & _LOW).astype(np.int64) - start) & 63), start, end
 
 
 def set_bits(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -136,12 +136,13 @@ def merge_runs(runs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-def _sorted_unique(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """As merge_runs, of one run that is not sorted yet."""
-    return merge_runs([keys])
+# --- one run -------------------------------------------------------------------
 
 
-# --- one run -------------------------------------------------------------------
+def _owners(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The document of each position; both sorted."""
+    count = np.diff(np.append(np.searchsorted(at, starts), len(at)))
+    return np.repeat(np.arange(len(starts)), count)
 
 
 class Run:
@@ -152,9 +153,9 @@ class Run:
         ids = docs.column("id")
         self.ids = ids.fill_null(NO_DOC).to_numpy().astype(np.int64)
         self.text = docs.column("text")
+        self.first_anchor = [0]  # of each chunk
         found = [self._anchors(c) for c in self.chunks()]
-        self.fp, self.ctx, self.doc, self.row, self.lo, self.size, *digits = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * spec.digits
-        self.digits = list(digits)
+        self.fp, self.ctx, self.doc, self.row, self.lo, self.size, self.win, self.win_end, self.pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 7
 
     def chunks(self):
         return K.chunks(self.text)
@@ -167,7 +168,7 @@ class Run:
         return K.token_prefix(K.word_hashes(c.data, w)), w.first[:-1], w.first[1:], K.token_range_hash, w
 
     def grams(self, c: K.Chunk):
-        """Hashes of all seed-grams, which windows are whole, and the ends of each position's document."""
+        """Prefix, documents' starts and ends, range hash, hashes of all seed-grams, which windows are whole."""
         prefix, starts, ends, ranged, _ = self.tokens(c)
         n = len(prefix) - 1
         size = ends - starts
@@ -182,20 +183,28 @@ class Run:
     def _anchors(self, c: K.Chunk):
         s = self.spec
         prefix, starts, ends, ranged, grams, whole = self.grams(c)
-        a = K.winnow(grams, whole, s.width)
-        at = np.searchsorted(starts, a, side="right") - 1
+        a, win, win_end = K.minimizers(grams, whole, s.width)
+        self.first_anchor.append(self.first_anchor[-1] + len(a))
+        at = _owners(a, starts)
         lo, hi = np.maximum(a - (s.width - 1), starts[at]), np.minimum(a + s.length, ends[at])
         ctx = ranged(prefix, lo, hi) | np.uint64(1)  # never MIXED
-        if s.unit == "word":
-            digits = [grams[a]]
-        else:
-            digits = []
-            for d in range(s.digits):
-                v = np.zeros(len(a), dtype=np.uint64)
+        return grams[a], ctx, self.ids[c.first + at], c.first + at, lo - starts[at], hi - lo, win, win_end, a
+
+    def digits(self, at: np.ndarray) -> list[np.ndarray]:
+        """The digits of some anchors, given in order."""
+        if self.spec.unit == "word":
+            return [self.fp[at]]
+        out = [np.empty(len(at), dtype=np.uint64) for _ in range(self.spec.digits)]
+        cut = np.searchsorted(at, self.first_anchor)
+        for c, i, j in zip(self.chunks(), cut[:-1], cut[1:], strict=True):
+            a = self.pos[at[i:j]]
+            for d, v in enumerate(out):
+                x = np.zeros(j - i, dtype=np.uint64)
                 for b in range(8):
-                    v = (v << np.uint64(8)) | c.data[a + 8 * d + b]
-                digits.append(v)
-        return grams[a], ctx, self.ids[c.first + at], c.first + at, lo - starts[at], hi - lo, *digits
+                    x <<= np.uint64(8)
+                    x |= c.data[a + 8 * d + b]
+                v[i:j] = x
+        return out
 
     def bucket(self, fp: np.ndarray) -> np.ndarray:
         return ((fp >> np.uint64(32)) * np.uint64(self.spec.buckets)) >> np.uint64(32)
@@ -221,13 +230,17 @@ def _answers(flags: pa.Table) -> dict[str, dict[int, list[np.ndarray]]]:
 
 
 def _sift_keys(r: Run):
-    """Sorted distinct 40-bit anchor hashes and whether several documents of the run have it."""
+    """Sorted distinct 40-bit anchor hashes, whether several documents of the run have it, and the key of each anchor."""
     key = r.fp >> np.uint64(24)
     order = np.argsort(key, kind="stable")
     k, d = key[order], r.doc[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    first = np.flatnonzero(new)
     several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(k) else np.zeros(0, bool)
-    return k[first], several
+    of = np.empty(len(k), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return k[first], several, of
 
 
 def _bucketed(r: Run, fp: np.ndarray) -> np.ndarray:
@@ -236,7 +249,7 @@ def _bucketed(r: Run, fp: np.ndarray) -> np.ndarray:
 
 def sift_send(spec: Spec, run: int, docs: pa.Table) -> pa.Table:
     r = Run(spec, docs)
-    keys, several = _sift_keys(r)
+    keys, several, _ = _sift_keys(r)
     cut = _bucketed(r, keys << np.uint64(24))
     return _rows(run, [(b, pack(np.diff(keys[i:j], prepend=np.uint64(0)), np.packbits(several[i:j]))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
 
@@ -259,9 +272,9 @@ def _sifted(r: Run, answers: dict[int, list[np.ndarray]]) -> np.ndarray:
     """Which anchors may be shared."""
     if r.spec.unit == "word":
         return np.ones(len(r.fp), dtype=bool)
-    keys, _ = _sift_keys(r)
+    _, _, of = _sift_keys(r)
     shared = np.concatenate([np.zeros(0, bool), *(np.unpackbits(x[0])[: x[1][0]].astype(bool) for _, x in sorted(answers.items()))])
-    return shared[np.searchsorted(keys, r.fp >> np.uint64(24))] if len(keys) else np.zeros(0, bool)
+    return shared[of]
 
 
 # --- round blocks ----------------------------------------------------------------
@@ -271,15 +284,16 @@ def _block_entries(r: Run, use: np.ndarray):
     """Distinct anchors sorted by bucket and digits: (anchor rows, entry of each, bucket, digits, doc, ctx, several)."""
     at = np.flatnonzero(use)
     bucket = r.bucket(r.fp[at])
-    order, group = _sorted_unique([bucket, *(d[at] for d in r.digits)])
+    digits = r.digits(at)
+    order, group = merge_runs([[bucket, *digits]])
     rows = at[order]
     if not len(rows):
         z = np.zeros(0, np.int64)
-        return rows, z, bucket, [z.astype(np.uint64)] * len(r.digits), z, z.astype(np.uint64), z.astype(bool)
+        return rows, z, bucket, [z.astype(np.uint64)] * r.spec.digits, z, z.astype(np.uint64), z.astype(bool)
     first = np.flatnonzero(np.diff(group, prepend=-1))
     least, most = np.minimum.reduceat(r.doc[rows], first), np.maximum.reduceat(r.doc[rows], first)
     c0, c1 = np.minimum.reduceat(r.ctx[rows], first), np.maximum.reduceat(r.ctx[rows], first)
-    return rows, group, bucket[order][first], [d[rows[first]] for d in r.digits], least, np.where(c0 == c1, c0, MIXED), least != most
+    return rows, group, bucket[order][first], [d[order[first]] for d in digits], least, np.where(c0 == c1, c0, MIXED), least != most
 
 
 def blocks_send(spec: Spec, run: int, docs: pa.Table, flags: pa.Table | None) -> pa.Table:
@@ -321,37 +335,33 @@ class Resolved:
         status = np.concatenate([np.zeros(0, np.uint8), *(x[0] for x in got)])
         owner = np.full(len(status), NO_DOC)
         owner[status == UNIFORM] = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in got)])
-        covered = owner[group] < r.doc[rows]
+        covered, varied = owner[group] < r.doc[rows], status[group] == VARIED
         at = rows[covered]
-        self.row, self.lo, self.size, self.owner = r.row[at], r.lo[at], r.size[at], owner[group][covered]
-        self.varied = np.unique(r.fp[rows[status[group] == VARIED]])
-
-    def windows(self, c: K.Chunk):
-        """(hash, document row, start in chunk, doc id) of the undecided windows; covered windows' (start, owner)."""
+        order = np.argsort(at, kind="stable")
+        at, group = at[order], group[covered][order]
+        self.row, self.lo, self.size, self.owner = r.row[at], r.lo[at], r.size[at], owner[group]
+        self.varied = rows[varied]
+        self.varied.sort()
+
+    def windows(self, number: int, c: K.Chunk):
+        """(hash, start in chunk, document id) of the chunk's undecided windows; (start, owner) of its covered ones."""
         r, s = self.run, self.run.spec
-        prefix, starts, _, ranged, grams, whole = r.grams(c)
-        n = len(whole)
-        owner = np.full(n, NO_DOC)
-        mine = (self.row >= c.first) & (self.row < c.first + len(c))
-        row, lo, size, who = self.row[mine], self.lo[mine], self.size[mine], self.owner[mine]
-        lo = lo + starts[row - c.first]
-        if len(lo):  # every window inside a covered neighbourhood is repeated
-            for step in range(s.width):  # a neighbourhood has at most that many windows
-                ok = step + s.length <= size
-                np.minimum.at(owner, lo[ok] + step, who[ok])
-        if n < s.length or not len(self.varied):
-            z = np.zeros(0, np.int64)
-            return (z.astype(np.uint64), z, z, z), owner, starts
-        least = K.sliding(grams, s.width, np.minimum)
-        at = np.flatnonzero(whole[: len(least)] & (owner[: len(least)] == NO_DOC))
-        v = least[at]
-        fresh = np.ones(len(v), dtype=bool)  # neighbouring windows mostly share their anchor: look up each once
-        fresh[1:] = v[1:] != v[:-1]
-        known = v[fresh]
-        pos = np.searchsorted(self.varied, known)
-        at = at[(self.varied[np.minimum(pos, len(self.varied) - 1)] == known)[np.cumsum(fresh) - 1]]
-        doc = np.searchsorted(starts, at, side="right") - 1
-        return (ranged(prefix, at, at + s.length), c.first + doc, at, r.ids[c.first + doc]), owner, starts
+        prefix, starts, _, ranged, _ = r.tokens(c)
+        owner = np.full(len(prefix) - 1, NO_DOC)
+        i, j = np.searchsorted(self.row, [c.first, c.first + len(c)])
+        lo, size, who = self.lo[i:j] + starts[self.row[i:j] - c.first], self.size[i:j], self.owner[i:j]
+        for step in range(s.width):  # every window inside a covered neighbourhood is repeated; it has at most that many
+            ok = step + s.length <= size
+            np.minimum.at(owner, lo[ok] + step, who[ok])
+        i, j = np.searchsorted(self.varied, r.first_anchor[number : number + 2])
+        anchor = self.varied[i:j]
+        n = r.win_end[anchor] - r.win[anchor]
+        of = np.repeat(np.arange(len(anchor)), n)
+        at = np.arange(int(n.sum())) - (np.cumsum(n) - n)[of] + r.win[anchor][of]
+        left = owner[at] == NO_DOC
+        at = at[left]
+        covered = np.flatnonzero(owner < NO_DOC)
+        return ranged(prefix, at, at + s.length), at, r.doc[anchor[of[left]]], covered, owner[covered], len(owner)
 
 
 # --- round windows ---------------------------------------------------------------
@@ -360,15 +370,14 @@ class Resolved:
 def _window_entries(res: Resolved):
     """The run's undecided windows: (sorted distinct hashes, smallest document of each, entry of each window, per chunk).
 
-    Per chunk: (chunk, undecided starts, their documents, covered starts, their owners).
+    Per chunk: (chunk, undecided starts, their documents, covered starts, their owners, units).
     """
     h, d, per_chunk = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-    for c in res.run.chunks():
-        (hashes, _, at, doc), owner, _ = res.windows(c)
+    for number, c in enumerate(res.run.chunks()):
+        hashes, at, doc, *covered = res.windows(number, c)
         h.append(hashes)
         d.append(doc)
-        covered = np.flatnonzero(owner < NO_DOC)
-        per_chunk.append((c, at, doc, covered, owner[covered], len(owner)))
+        per_chunk.append((c, at, doc, *covered))
     h, d = np.concatenate(h), np.concatenate(d)
     order = np.argsort(h, kind="stable")
     h, d = h[order], d[order]
@@ -450,7 +459,7 @@ def _chunk_rows(spec: Spec, r: Run, c: K.Chunk, hit: np.ndarray, owner: np.ndarr
         opening[head] |= gone[head]
     opened = np.concatenate([[0], np.cumsum(opening)])
     # factors: consecutive windows with one owner in one document
-    doc = np.searchsorted(starts, hit, side="right") - 1
+    doc = _owners(hit, starts)
     cut = np.ones(len(hit), dtype=bool)
     cut[1:] = (np.diff(hit) != 1) | (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
     f = np.flatnonzero(cut)
