@@ -106,76 +106,104 @@ def signature_members(nodes: DataFrame, rows: int, bands: int) -> DataFrame:
     return band_members(nodes.mapInArrow(_send(rows, buckets), PACKED_DDL), buckets)
 
 
-def _signature_check(similarity: float, minima: int):
-    least = similarity - SIGNATURE_MARGIN * np.sqrt(similarity * (1 - similarity) / minima)
+def _bits(keys: list[np.ndarray]) -> np.ndarray:
+    """(sets, words): each set as bits over the elements that several of the sets have."""
+    flat, row = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.argsort(flat, kind="stable")
+    value = flat[order]
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = value[1:] != value[:-1]
+    group = np.cumsum(new) - 1
+    several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+    row, group = row[order][several], group[several]
+    column = np.cumsum(np.diff(group, prepend=-1) > 0) - 1 if len(group) else group
+    out = np.zeros((len(keys), (int(column[-1]) if len(column) else 0) // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(out, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(n, minima) if n else np.zeros((0, minima), np.uint32) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least, pa.bool_()))
 
-    return run
+def _links(keys: list[np.ndarray], side: np.ndarray, sig: np.ndarray | None, percent: int, least: float) -> list[tuple[int, int]]:
+    """Enough links to connect what is linked: pairs of sets on two sides, or of all sets on one.
 
+    A set is compared only with those that are not connected to it yet: first
+    the sizes, then the signatures, then the exact intersections.
+    """
+    bits, size, label, out = _bits(keys), np.array([len(k) for k in keys]), np.arange(len(keys)), []
+    crossing = side.any()
+    for i in np.flatnonzero(side == 0) if crossing else range(len(keys)):
+        other = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        if crossing:
+            other &= side == 1
+        else:
+            other[:i] = False
+        at = np.flatnonzero(other)
+        if sig is not None and len(at):
+            at = at[(sig[at] == sig[i]).mean(axis=1) >= least]
+        if not len(at):
+            continue
+        shared = np.bitwise_count(bits[at] & bits[i]).sum(axis=1, dtype=np.int64)
+        for j in at[100 * shared >= percent * (size[at] + size[i] - shared)]:
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _compare(sets: Callable, percent: int, minima: int):
+    """One task's homes: rows (home, side, node, text[, sig]) to links (a, b)."""
+    similarity = percent / 100
+    least = similarity - SIGNATURE_MARGIN * np.sqrt(similarity * (1 - similarity) / minima) if minima else 0.0
 
-def _exact_check(sets: Callable[[K.Chunk], tuple[np.ndarray, np.ndarray, np.ndarray]], percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                keys, sizes = [], []
-                for column in (2, 3):
-                    for c in K.chunks(part.column(column), 1 << 40):
-                        h, doc, first = sets(c)
-                        keys.append((h & ~np.uint64(0xFF)) | doc.astype(np.uint64))
-                        sizes.append(np.diff(first))
-                both = np.sort(np.concatenate(keys))
-                hit = both[1:][both[1:] == both[:-1]] & np.uint64(0xFF)
-                shared = np.bincount(hit.astype(np.int64), minlength=part.num_rows)
-                yield part.select([0, 1]).filter(pa.array(100 * shared >= percent * (sizes[0] + sizes[1] - shared)))
+    def run(key, table):
+        table = table.sort_by([("home", "ascending"), ("node", "ascending")])
+        home, side, node = (table.column(c).to_numpy() for c in ("home", "side", "node"))
+        keys: list[np.ndarray] = []
+        for c in K.chunks(table.column("text"), 1 << 20):
+            h, _, first = sets(c)
+            keys += np.split(h & ~np.uint64(0xFFFF), first[1:-1])
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1) if minima else None
+        cut = np.flatnonzero(np.diff(home, prepend=home[0] - 1, append=home[-1] + 1))
+        a, b = [], []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            for x, y in _links(keys[i:j], side[i:j], None if sig is None else sig[i:j], percent, least):
+                a.append(node[i + x])
+                b.append(node[i + y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def linked_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, *, percent: int, what: str, nodes: DataFrame | None = None, minima: int = 0) -> DataFrame:
+def linked_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, *, percent: int, block: int, what: str, nodes: DataFrame | None = None, minima: int = 0) -> DataFrame:
     """(node, component) of the nodes linked to another at ``percent`` similarity.
 
     ``members``: see :func:`band_members`.  ``texts``: from a table of nodes to
-    their (node, text).  ``sets``: the distinct shingles of a chunk's texts, for
-    the exact check.  ``nodes`` (node, sig), written, one row per node: if
-    given, signatures of ``minima`` values are compared before texts are.
-
-    Each node's best leader is checked first, by signature and then on the full
-    sets, and gives first components.  Then, in each bucket with several
-    components, all pairs *between* components are checked: every pair that
-    shares a band is checked or already connected, and a large group of copies
-    costs no square.
+    their (node, text).  ``sets``: the distinct shingles of a chunk's texts.
+    ``nodes`` (node, sig), one row per node: if given, signatures of ``minima``
+    values are compared before sets are.
+
+    Nodes connected by shared bands are of one *home*.  Homes of up to
+    ``block`` nodes are packed into tasks; a larger home is dealt to blocks by
+    a hash of the node, and each pair of its blocks is a task.  So a task holds
+    a bounded number of texts, each pair that shares a band is compared in one
+    task (unless it is connected already), and only connecting links leave it.
     """
-
-    def verified(pairs: DataFrame, step: str) -> DataFrame:
-        checked = pairs
-        if nodes is not None:
-            checked = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-            checked = checked.select("a", "b", "sig_a", "sig_b").mapInArrow(_signature_check(percent / 100, minima), "a long, b long")
-            checked = materialize(checked, f"{what}-{step}-signed")
-        needed = materialize(checked.select(F.col("a").alias("node")).union(checked.select("b")).distinct(), f"{what}-{step}-needed")
-        text = materialize(texts(needed), f"{what}-{step}-texts")
-        full = checked.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_exact_check(sets, percent), "a long, b long"), f"{what}-{step}-links")
-
-    members = materialize(members, f"{what}-bands")
-    best = members.where("node != leader").groupBy("leader", "node").count().groupBy("node").agg(F.max(F.struct("count", "leader")).alias("m"))
-    first = materialize(best.select(F.col("m.leader").alias("a"), F.col("node").alias("b")), f"{what}-first")
-    links = verified(first, "first")
-    named = materialize(components(links), f"{what}-components")
-
-    placed = members.select("h", "node").join(named, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, f"{what}-members")
-    mixed = materialize(placed.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("h"), f"{what}-mixed")
-    open_ = materialize(placed.join(mixed, "h").distinct(), f"{what}-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(pairs.join(tried, ["a", "b"], "left_anti"), f"{what}-second")
-    return materialize(components(links.union(verified(second, "second"))), f"{what}-classes")
+    led = materialize(members.where("node != leader").select("leader", "node").distinct(), f"{what}-led")
+    homes = materialize(components(led), f"{what}-homes")
+    sizes = materialize(homes.groupBy("component").agg(F.count(F.lit(1)).alias("n")), f"{what}-sizes")
+    packs = homes.count() // block + 1
+    placed = homes.join(sizes, "component").select("node", F.col("component").alias("home"), F.expr(f"(n + {block - 1}) div {block}").cast("int").alias("blocks"))
+    placed = materialize(placed, f"{what}-placed")
+    known = texts(placed.select("node"))
+    known = known.join(placed, "node")
+    if nodes is not None:
+        known = known.join(nodes, "node")
+    known = materialize(known, f"{what}-texts")
+    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = known.withColumn("mine", mine).withColumn("other", other)
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("home"), F.lit(packs))).otherwise(F.xxhash64("home", lo, hi))
+    dealt = dealt.select(task.alias("task"), "home", (F.col("mine") > F.col("other")).cast("int").alias("side_hi"), (F.col("mine") != F.col("other")).alias("two"), "node", "text", *(["sig"] if nodes is not None else []))
+    side = F.when(F.col("two") & (F.col("side_hi") == 1), 1).otherwise(0)
+    dealt = dealt.withColumn("side", side.cast("int")).drop("side_hi", "two")
+    links = materialize(dealt.groupBy("task").applyInArrow(_compare(sets, percent, minima), "a long, b long"), f"{what}-links")
+    return materialize(components(links), f"{what}-classes")

@@ -17,6 +17,7 @@ from .storage import materialize
 
 SHINGLE = 10  # characters
 ROWS, BANDS = 3, 16  # a pair at similarity 0.8 shares no band with probability 1e-5
+BLOCK = 1024  # lines that a task compares with each other
 MINIMA = ROWS * BANDS
 PERCENT = 80
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -149,7 +150,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def texts(needed: DataFrame) -> DataFrame:
         return only.mapInArrow(_text_batches, "node long, text string").join(needed, "node").dropDuplicates(["node"])
 
-    named = linked_classes(members, texts, line_sets, percent=percent, what="lines")
+    named = linked_classes(members, texts, line_sets, percent=percent, block=BLOCK, what="lines")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "line_no")
     first = materialize(lines.groupBy("node").agg(F.min(place).alias("place")), "lines-first")
     classed = materialize(first.join(named, "node", "left").select("node", "place", F.coalesce("component", "node").alias("component")), "lines-classed")

@@ -13,6 +13,7 @@ from . import kernels as K
 from .banding import linked_classes, signature_members
 from .storage import materialize
 
+BLOCK = 256  # documents that a task compares with each other
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 shares no band with probability 5e-8
 _RNG = np.random.default_rng(77)
 FACTORS = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -98,7 +99,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return base.select(F.col("row").alias("node"), "text").join(needed, "node").dropDuplicates(["node"])
 
     signed = nodes.select("node", "sig")
-    named = linked_classes(signature_members(signed, ROWS, BANDS), texts, lambda c: shingle_sets(c, words), percent=percent, what="minhash", nodes=signed, minima=BANDS * ROWS)
+    named = linked_classes(signature_members(signed, ROWS, BANDS), texts, lambda c: shingle_sets(c, words), percent=percent, block=BLOCK, what="minhash", nodes=signed, minima=BANDS * ROWS)
     classed = nodes.select("s1", "s2", "id", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classed = materialize(classed.select("s1", "s2", "id", "component"), "minhash-classed")
     least = materialize(classed.groupBy("component").agg(F.min("id").alias("component_id")), "minhash-least")
