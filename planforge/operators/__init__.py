@@ -1 +1 @@
-
+"""Statistics, bounds and plan decisions."""

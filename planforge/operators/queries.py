@@ -306,7 +306,7 @@ def _ues(sql: str, hint: str | None = "SHUFFLE_HASH"):
         from planforge.plans.parse import parse_query
         from planforge.sources.registry import Database
 
-        from .ues import PreciseStats, build, optimize
+        from .join_order import PreciseStats, build, optimize
 
         db, spec = Database(spark, sf_dir), parse_query(sql)
         tree = optimize(spec, PreciseStats(db), db.schema)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from planforge.plans.query import QuerySpec, to_sql
 
-from .ues import Tree
+from .join_order import Tree
 
 Step = tuple[tuple[str, ...], tuple[str, ...]]  # tables and, if the synopsis looks at them, filters
 GAMMA = 0.8

@@ -1 +1 @@
-
+"""Queries as data, parsing, and running plans."""

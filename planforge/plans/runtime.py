@@ -74,8 +74,8 @@ def physical_plan(df: DataFrame) -> PlanNode:
 
 
 def plan_key(df: DataFrame) -> str:
-    """Hash of the plan without expression numbers: equal plans have equal keys."""
-    text = re.sub(r"#\d+L?|plan_id=\d+|\[id=.*?\]", "", df._jdf.queryExecution().executedPlan().toString())
+    """Hash of the plan before adaptive execution, without expression numbers: equal plans have equal keys."""
+    text = re.sub(r"#\d+L?|plan_id=\d+|\[id=.*?\]", "", df._jdf.queryExecution().sparkPlan().toString())
     return hashlib.sha256(text.encode()).hexdigest()
 
 

@@ -1 +1 @@
-
+"""Tables, constraints and stored intermediates."""

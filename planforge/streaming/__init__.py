@@ -1 +1 @@
-
+"""Continuous collection of executions."""
