@@ -92,6 +92,24 @@ def _answer(buckets: int):
     return run
 
 
+FILTER_BITS = 1 << 24
+
+
+def prefilter(df: DataFrame, needed: DataFrame, key: str = "node") -> DataFrame:
+    """Drops most rows of ``df`` whose key is not needed, before a join shuffles the rest.
+
+    The keys' hashes set bits of a bitmap of ``FILTER_BITS`` bits, that is at
+    most 262,144 words however many keys there are, and the words are sent to
+    all executors.  A set bit proves nothing, so the join must follow.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = needed.select(place.alias("p")).groupBy(F.expr("p div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_mask"))
+    words = materialize(bits, "filter-words")
+    hit = F.call_function("getbit", F.col("_mask"), F.expr("cast(_place % 64 as int)")) == 1
+    placed = df.withColumn("_place", place).withColumn("_word", F.expr("_place div 64"))
+    return placed.join(F.broadcast(words), "_word").where(hit).select(*df.columns)  # FILTER_BITS / 64 rows at most
+
+
 PACKED_DDL = "bucket long, blob binary"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .banding import BUCKET_ROWS, PACKED_DDL, band_hashes, band_members, linked_classes, pack_bands
+from .banding import BUCKET_ROWS, PACKED_DDL, band_hashes, band_members, linked_classes, pack_bands, prefilter
 from .minhash import row_key
 from .repeats import plan_bytes
 from .storage import materialize
@@ -144,11 +144,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     lines = materialize(base.mapInArrow(_line_batches, "id long, row long, line_no long, n_chars long, node long"), "lines")
     only = base.select("text")
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs) * BANDS // 200 // BUCKET_ROWS)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs, text_col) * BANDS // 200 // BUCKET_ROWS)
     members = band_members(only.mapInArrow(_band_batches(buckets), PACKED_DDL), buckets)
 
     def texts(needed: DataFrame) -> DataFrame:
-        return only.mapInArrow(_text_batches, "node long, text string").join(needed, "node").dropDuplicates(["node"])
+        return prefilter(only.mapInArrow(_text_batches, "node long, text string"), needed).join(needed, "node").dropDuplicates(["node"])
 
     named = linked_classes(members, texts, line_sets, percent=percent, block=BLOCK, what="lines")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "line_no")

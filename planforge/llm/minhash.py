@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .banding import linked_classes, signature_members
+from .banding import linked_classes, prefilter, signature_members
 from .storage import materialize
 
 BLOCK = 256  # documents that a task compares with each other
@@ -96,7 +96,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = materialize(nodes.select("s1", "s2", F.col("m.id").alias("id"), F.col("m.row").alias("node"), "sig"), "minhash-nodes")
 
     def texts(needed: DataFrame) -> DataFrame:
-        return base.select(F.col("row").alias("node"), "text").join(needed, "node").dropDuplicates(["node"])
+        return prefilter(base.select(F.col("row").alias("node"), "text"), needed).join(needed, "node").dropDuplicates(["node"])
 
     signed = nodes.select("node", "sig")
     named = linked_classes(signature_members(signed, ROWS, BANDS), texts, lambda c: shingle_sets(c, words), percent=percent, block=BLOCK, what="minhash", nodes=signed, minima=BANDS * ROWS)
