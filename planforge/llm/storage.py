@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000  # long texts: smaller batches than Spark's own
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the cluster sets it; a local folder only where it is unset, as in tests."""
     return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/planforge-checkpoints").rstrip("/")
@@ -21,5 +24,10 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/planforge/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before) if int(before) > 0 else ROWS, ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
