@@ -491,9 +491,13 @@ def _chunk_rows(spec: Spec, r: Run, c: K.Chunk, hit: np.ndarray, owner: np.ndarr
 # --- Spark -------------------------------------------------------------------------
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input in bytes; the scan's file size for a table."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+UNKNOWN = 1 << 60  # Catalyst's answer for sources that cannot tell their size
+
+
+def plan_bytes(df: DataFrame, text_col: str) -> int:
+    """Catalyst's estimate of the input in bytes (a scan's file size); counted where it has none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < UNKNOWN else df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
 def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, unit: str, length: int, seed: int, run_bytes: int = 8 << 20) -> DataFrame:
@@ -503,7 +507,7 @@ def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, unit: str, leng
     much text); it sets how much a task holds, never what is found.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    runs = int(min(max(2 * cores, plan_bytes(docs) // run_bytes + 1), 200_000))
+    runs = int(min(max(2 * cores, plan_bytes(docs, text_col) // run_bytes + 1), 200_000))
     spec = Spec(unit, length, seed, runs)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = base.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs))).repartition(runs, "run")

@@ -93,7 +93,7 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id"
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     labelled = outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    every = parts.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(labelled, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
+    every = parts.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(labelled, "host", "full").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
     known = materialize(host_reputation(materialize(every, "url-labels")), "url-reputation")
     rule, verdict = rule_match(rules, F.col("host"), F.col("path"))
     judged = parts.join(known.select("host", "bad_bound"), "host", "left")
