@@ -23,6 +23,7 @@ FAMILIES = {
 }
 DIMENSIONS = 2048
 PER_LANGUAGE = 1000  # rows per language that the model is fitted on
+MOST_LANGUAGES = 200  # the most frequent values of the language column that are learned
 UNKNOWN = "und"
 LETTER = np.isin(K.LOWER[np.arange(256)], np.arange(97, 123))
 
@@ -125,9 +126,9 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def train_language(rows: DataFrame, *, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
-    """Fits on (key, text, lang): about ``per_language`` rows of each language at most, chosen by a hash of key and text."""
+    """Fits on (key, text, lang): about ``per_language`` rows of each of the ``MOST_LANGUAGES`` most frequent languages, chosen by a hash of the key."""
     rows = rows.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
     share = F.lit(0)
