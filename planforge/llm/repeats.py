@@ -500,7 +500,7 @@ def plan_bytes(df: DataFrame, text_col: str) -> int:
     return n if n < UNKNOWN else df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
-def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, unit: str, length: int, seed: int, run_bytes: int = 8 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, unit: str, length: int, seed: int, run_bytes: int = 4 << 20) -> DataFrame:
     """Rows ``RESULT_DDL`` for every row of ``docs``.
 
     ``run_bytes``: file bytes whose documents make one run (about three times as
