@@ -56,7 +56,13 @@ def _shingles(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     n = np.maximum(size - SHINGLE + 1, 1)
     line = np.repeat(np.arange(len(starts)), n)
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + starts[line]
-    return K.token_range_hash(prefix, at, np.minimum(at + SHINGLE, ends[line])), line
+    grams = K.token_gram_hashes(prefix, SHINGLE)
+    if not len(grams):
+        return K.token_range_hash(prefix, starts, ends), line
+    h = grams[np.minimum(at, len(grams) - 1)]
+    short = np.flatnonzero(size < SHINGLE)
+    h[(np.cumsum(n) - n)[short]] = K.token_range_hash(prefix, starts[short], ends[short])
+    return h, line
 
 
 def one_permutation(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
