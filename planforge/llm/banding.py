@@ -68,6 +68,36 @@ def _send(rows: int, buckets: int):
     return run
 
 
+FINE_ROWS, FINE_BANDS = 6, 40  # a pair at similarity 0.8 shares no band with probability 5e-6, one at 0.3 shares one with 3%
+_RNG = np.random.default_rng(78)
+FINE = _RNG.integers(0, 1 << 31, FINE_ROWS * FINE_BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 1 << 32, FINE_ROWS * FINE_BANDS, dtype=np.uint32)
+
+
+def minima(h: np.ndarray, first: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Minimum of each universal hash over each non-empty set (others are zero)."""
+    out = np.zeros((len(first) - 1, len(factors)), dtype=np.uint32)
+    filled = np.flatnonzero(np.diff(first))
+    if len(filled):
+        x, starts = (h >> np.uint64(32)).astype(np.uint32), first[filled]
+        for i in range(len(factors)):
+            out[filled, i] = np.minimum.reduceat(x * factors[i] + terms[i], starts)
+    return out
+
+
+def _send_fine(sets: Callable, buckets: int):
+    """Packs finer bands of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, node = [np.zeros((0, FINE_BANDS), np.uint64)], batch.column(0).to_numpy()
+            for c in K.chunks(batch.column(1)):
+                key, _, first = sets(c)
+                h.append(band_hashes(minima(key, first, *FINE), FINE_ROWS))
+            yield pack_bands(np.concatenate(h).ravel(), np.repeat(node, FINE_BANDS), buckets)
+
+    return run
+
+
 MEMBER_DDL = "h long, node long, leader long"
 
 
@@ -191,6 +221,15 @@ def _compare(sets: Callable, percent: int, minima: int):
     return run
 
 
+def _homes(members: DataFrame, block: int, what: str) -> tuple[DataFrame, int]:
+    """((node, home, blocks), packs): candidates connected through their leaders."""
+    led = materialize(members.where("node != leader").select("leader", "node").distinct(), f"{what}-led")
+    homes = materialize(components(led), f"{what}-homes")
+    sizes = materialize(homes.groupBy("component").agg(F.count(F.lit(1)).alias("n")), f"{what}-sizes")
+    placed = homes.join(sizes, "component").select("node", F.col("component").alias("home"), F.expr(f"(n + {block - 1}) div {block}").cast("int").alias("blocks"))
+    return materialize(placed, f"{what}-placed"), homes.count() // block + 1
+
+
 def linked_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, *, percent: int, block: int, what: str, nodes: DataFrame | None = None, minima: int = 0) -> DataFrame:
     """(node, component) of the nodes linked to another at ``percent`` similarity.
 
@@ -199,23 +238,24 @@ def linked_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame],
     ``nodes`` (node, sig), one row per node: if given, signatures of ``minima``
     values are compared before sets are.
 
-    Nodes connected by shared bands are of one *home*.  Homes of up to
+    Nodes connected by shared bands are of one *home*.  A home of more than
+    ``block`` nodes is taken apart once more by finer bands of its texts, which
+    weakly similar texts seldom share.  Homes of up to
     ``block`` nodes are packed into tasks; a larger home is dealt to blocks by
     a hash of the node, and each pair of its blocks is a task.  So a task holds
     a bounded number of texts, each pair that shares a band is compared in one
     task (unless it is connected already), and only connecting links leave it.
     """
-    led = materialize(members.where("node != leader").select("leader", "node").distinct(), f"{what}-led")
-    homes = materialize(components(led), f"{what}-homes")
-    sizes = materialize(homes.groupBy("component").agg(F.count(F.lit(1)).alias("n")), f"{what}-sizes")
-    packs = homes.count() // block + 1
-    placed = homes.join(sizes, "component").select("node", F.col("component").alias("home"), F.expr(f"(n + {block - 1}) div {block}").cast("int").alias("blocks"))
-    placed = materialize(placed, f"{what}-placed")
-    known = texts(placed.select("node"))
-    known = known.join(placed, "node")
+    placed, packs = _homes(members, block, what)
+    known = texts(placed.select("node")).join(placed, "node")
     if nodes is not None:
         known = known.join(nodes, "node")
     known = materialize(known, f"{what}-texts")
+    large = known.where("blocks > 1")
+    buckets = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = band_members(large.select("node", "text").mapInArrow(_send_fine(sets, buckets), PACKED_DDL), buckets)
+    again, _ = _homes(fine, block, f"{what}-fine")
+    known = known.where("blocks = 1").unionByName(large.drop("home", "blocks").join(again, "node"))
     mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = known.withColumn("mine", mine).withColumn("other", other)
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .banding import linked_classes, prefilter, signature_members
+from .banding import linked_classes, minima, prefilter, signature_members
 from .storage import materialize
 
 BLOCK = 256  # documents that a task compares with each other
@@ -43,14 +43,8 @@ def shingle_sets(c: K.Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Minimum of each universal hash over each non-empty set (others are zero)."""
-    out = np.zeros((len(first) - 1, BANDS * ROWS), dtype=np.uint32)
-    filled = np.flatnonzero(np.diff(first))
-    if len(filled):
-        x, starts = (h >> np.uint64(32)).astype(np.uint32), first[filled]
-        for i in range(BANDS * ROWS):
-            out[filled, i] = np.minimum.reduceat(x * FACTORS[i] + TERMS[i], starts)
-    return out
+    """The BANDS * ROWS minima of each set."""
+    return minima(h, first, FACTORS, TERMS)
 
 
 SET_DDL = "id long, row long, n long, s1 long, s2 long, sig binary"
