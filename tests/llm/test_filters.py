@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,38 @@ def test_decontamination(spark, nasty, empty):
     D.decontaminate(nasty, bench).collect()
 
 
+def test_every_overlap_matches_a_mask():
+    """All patterns of equal and changed words of up to 25 words, ends equal, with as many changes as an overlap may have."""
+    matches = lambda p, mask: any(all(p[i + j] for j, b in enumerate(mask) if b == "1") for i in range(len(p) - len(mask) + 1))
+    for n in range(1, 26):
+        changes = n - D.least_equal(n, D.TOLERANCE)
+        masks = [D.masks_of(n)] + [D.masks_of(60)] * (n >= D.OVERLAP)
+        for gone in combinations(range(1, n - 1), changes) if changes else [()]:
+            p = [i not in gone for i in range(n)]
+            assert all(any(matches(p, m) for m in ms) for ms in masks), (n, gone)
+    assert all(4 * m / (m + 1) > 3 for m in range(4, 1000))  # m changes leave a run of 4 words in any longer overlap
+    for overlap, tolerance in ((8, 0.75), (20, 0.9), (13, 1.0)):
+        for n in range(1, 22):
+            changes = n - D.least_equal(n, tolerance)
+            masks = [D.masks_of(n, overlap, tolerance)] * (n <= overlap) + [D.masks_of(60, overlap, tolerance)] * (n >= overlap)
+            for gone in combinations(range(1, n - 1), min(changes, max(n - 2, 0))):
+                assert all(any(matches([i not in gone for i in range(n)], m) for m in ms) for ms in masks), (overlap, tolerance, n, gone)
+
+
+def test_decontamination_with_many_changes(spark):
+    """Findings of the review: every fifth word, two close words, three words of twenty."""
+    words = lambda k, n: [f"{k}w{i}" for i in range(n)]
+    change = lambda ws, at: " ".join("other" if i in at else w for i, w in enumerate(ws))
+    cases = [(60, range(4, 60, 5)), (20, (4, 9, 14)), (15, (5, 7)), (15, (3, 8)), (13, (4, 8)), (15, (3, 7, 11)), (200, range(4, 199, 5))]
+    cases += [(20, (3, 4, 8, 9, 13, 14)), (13, (3, 6, 9)), (60, range(3, 60, 4))]
+    items = [(k, " ".join(words(k, n))) for k, (n, _) in enumerate(cases)]
+    docs = [(k, f"x y {change(words(k, n), at)} z") for k, (n, at) in enumerate(cases)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in D.decontaminate(df, bench).collect()}
+    assert set(got) == leaks(docs, [t for _, t in items]) >= set(range(7)) and got[0].n_words == 59 and got[0].n_equal == 48
+    assert {r.doc_id: r for r in D.decontaminate(df, bench, broadcast_seeds=0).collect()} == got
+
+
 def test_decontamination_of_the_tables(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     items = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
