@@ -131,6 +131,24 @@ def test_decontamination_with_many_changes(spark):
     assert {r.doc_id: r for r in D.decontaminate(df, bench, broadcast_seeds=0).collect()} == got
 
 
+def test_decontamination_of_short_items_is_the_same_both_ways(spark):
+    """Items of 1 to 12 words, each with all changes of up to three words, beside long items."""
+    words = lambda k, n: [f"{k}w{i}" for i in range(n)]
+    items = [(n, " ".join(words(n, n))) for n in range(1, 13)] + [(20, " ".join(words(20, 40)))]
+    docs = []
+    for n in range(1, 13):
+        for gone in [(), *combinations(range(n), 1), *combinations(range(n), 2), *list(combinations(range(n), 3))[::7]]:
+            docs.append((len(docs), " ".join(["p", *("other" if i in gone else w for i, w in enumerate(words(n, n))), "q"])))
+    docs += [(len(docs), " ".join(words(20, 40)[5:18])), (len(docs) + 1, " ".join(words(20, 40)[5:17]))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = leaks(docs, [t for _, t in items])
+    got = {r.doc_id: r for r in D.decontaminate(df, bench).collect()}
+    assert set(got) == want and {r.doc_id: r for r in D.decontaminate(df, bench, broadcast_seeds=0).collect()} == got
+    few = bench.where("item_id in (4, 11, 20)")
+    got = {r.doc_id: r for r in D.decontaminate(df, few).collect()}
+    assert set(got) == leaks(docs, [t for i, t in items if i in (4, 11, 20)]) and {r.doc_id: r for r in D.decontaminate(df, few, broadcast_seeds=0).collect()} == got
+
+
 def test_decontamination_of_the_tables(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     items = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
