@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import materialize
 
 #: Language families by ISO 639-1 code; other codes are families of their own.
 FAMILIES = {
@@ -22,8 +23,9 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
 }
 DIMENSIONS = 2048
-PER_LANGUAGE = 1000  # rows per language that the model is fitted on
-MOST_LANGUAGES = 200  # the most frequent values of the language column that are learned
+PER_LANGUAGE = 1000  # rows per language that the model is fitted on, if there are few languages
+MOST_ROWS = 20000  # rows of all languages together; each language has one at least
+FITTED = 64  # separating planes that are fitted at once
 UNKNOWN = "und"
 LETTER = np.isin(K.LOWER[np.arange(256)], np.arange(97, 123))
 
@@ -56,17 +58,20 @@ def has_letter(c: K.Chunk) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, *, ridge: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """Linear SVM (squared hinge, balanced classes, y = +-1) by accelerated gradient; the last weight is the bias."""
+    """Linear SVM (squared hinge, balanced classes, y = +-1) by accelerated gradient; the last weight is the bias.
+
+    Each column of a two-dimensional ``y`` is a problem of its own and gives a row of weights.
+    """
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    weight = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(axis=0), 1), 0.5 / np.maximum((y < 0).sum(axis=0), 1)).astype(np.float32)
+    w = np.zeros((x.shape[1], *y.shape[1:]), np.float32)
     ahead, rate = w, np.float32(1 / (2 * (2 + ridge)))  # rows have norm sqrt(2) with the bias
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ ahead))
         grad = -2 * (x.T @ (weight * slack * y)) + 2 * ridge * ahead
         new = ahead - rate * grad
         ahead, w = new + (t / (t + 3)) * (new - w), new
-    return w
+    return w.T
 
 
 @dataclass
@@ -109,7 +114,7 @@ def fit_hierarchy(x: np.ndarray, langs: np.ndarray) -> Hierarchy | None:
     family = np.array([of.get(v, v) for v in langs])
     names = sorted(set(family))
     members = {f: sorted(set(langs[family == f])) for f in names}
-    top = np.stack([fit_svm(x, np.where(family == f, 1, -1).astype(np.float32)) for f in names])
+    top = np.concatenate([fit_svm(x, np.where(family[:, None] == np.array(names[i : i + FITTED]), 1, -1).astype(np.float32)) for i in range(0, len(names), FITTED)])
     out = Hierarchy(names, members, top)
     for f in names:
         for a, b in combinations(members[f], 2):
@@ -125,20 +130,26 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "profile"])
 
 
-def train_language(rows: DataFrame, *, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
-    """Fits on (key, text, lang): about ``per_language`` rows of each of the ``MOST_LANGUAGES`` most frequent languages, chosen by a hash of the key."""
-    rows = rows.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+def train_language(rows: DataFrame, *, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Hierarchy | None:
+    """Fits on (key, text, lang): about ``per_language`` rows of each language, chosen by a hash of the key.
+
+    Every language is learned.  Where that would be more than ``most_rows`` in
+    all, each language gets an equal part of ``most_rows``, and one row at least.
+    """
+    rows = rows.where("lang is not null and text is not null").select("text", "lang", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("place"))
+    known = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")), "languages")
+    languages = known.count()
+    if not languages:
         return None
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1 << 30, int(per_language / n * (1 << 30)))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share)
+    each = max(1, min(per_language, most_rows // languages))
+    shares = known.select("lang", "least", F.least(F.lit(1 << 30), F.floor(F.lit(each) / F.col("n") * (1 << 30))).alias("share"))
+    # the model that is sent out has a row of weights per language: this table is smaller
+    sample = rows.join(F.broadcast(shares.drop("least")), "lang").where("place < share").select("lang", "text")
+    left_out = shares.where("least >= share").select("lang", F.col("least").alias("place"))
+    if not left_out.isEmpty():
+        sample = sample.union(rows.join(F.broadcast(left_out), ["lang", "place"]).groupBy("lang").agg(F.min("text").alias("text")))
     got = sample.select("lang", "text").mapInArrow(_profile_batches, "lang string, profile binary").toArrow()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
-    if not len(langs):
-        return None
     x = np.stack([np.frombuffer(b, np.float16) for b in got.column("profile").to_pylist()]).astype(np.float32)
     order = np.lexsort((x[:, 1], x[:, 0], langs.astype(str)))
     return fit_hierarchy(x[order], langs[order])
@@ -173,7 +184,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> DataFrame:
     """Learns from the rows that are not held out and predicts all.
 
     Held out: crc32 of the id as text leaves 1 on division by 3 (a null id is
@@ -182,7 +193,7 @@ def identify_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Further columns are not read.
     """
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = train_language(rows, per_language=per_language)
+    model = train_language(rows, per_language=per_language, most_rows=most_rows)
     return predict_language(docs, model, text_col=text_col, carry=(id_col,)).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 

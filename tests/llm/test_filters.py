@@ -221,6 +221,31 @@ def test_language_held_out(spark, nasty, empty):
     assert L.identify_language(empty).count() == 0 and {r.lang_pred for r in L.predict_language(nasty, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than any fixed number, of unequal counts, the rare ones included."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    langs = [f"x{a}{b}" for a in letters[:16] for b in letters[:15]]
+    rows = []
+    for k, lang in enumerate(langs):
+        a, b, c = letters[k // 15], letters[k % 15], "éüñ"[k % 3]
+        rows += [(len(rows) + i, " ".join(f"{a}{b}{c}{b}{a}"[: 3 + (i + j) % 3] for j in range(20)), lang) for i in range(2 + 20 * (k % 40 == 0))]
+    df = spark.createDataFrame(rows, "key long, text string, lang string")
+    for most in (L.MOST_ROWS, 480, 10):  # the last two: two rows and one row per language
+        model = L.train_language(df, most_rows=most)
+        assert sorted(x for m in model.members.values() for x in m) == sorted(langs)
+        told = L.predict_language(df, model, carry=("key", "lang")).collect()
+        assert len(told) == len(rows) and np.mean([r.lang == r.lang_pred for r in told]) > 0.97
+    got = L.identify_language(df.withColumnRenamed("key", "doc_id")).collect()
+    assert len({r.lang_pred for r in got}) > 200
+
+
+def test_planes_fitted_together_equal_each_alone():
+    rng = np.random.default_rng(5)
+    x = rng.random((90, 12)).astype(np.float32)
+    y = np.where(rng.random((90, 3)) < 0.4, 1, -1).astype(np.float32)
+    assert np.allclose(L.fit_svm(x, y), [L.fit_svm(x, y[:, i]) for i in range(3)], atol=1e-4)
+
+
 def test_sharding_law(nasty, nasty_texts, empty, spark, tmp_path):
     rows = shard_documents(nasty).collect()
     want = Counter((i, len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for i, t in nasty_texts)
