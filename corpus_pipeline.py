@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from planforge.llm.decontaminate import decontaminate
 from planforge.llm.language import UNKNOWN, held_out, predict_language, train_language
-from planforge.llm.minhash import near_duplicates, row_key
+from planforge.llm.minhash import row_key, surplus_rows
 from planforge.llm.mixing import apply_mix
 from planforge.llm.sharding import shard_documents
 from planforge.llm.storage import materialize
@@ -25,10 +25,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked at 0.8 of five-word shingles."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("row_key").alias("_row")).distinct()
+    """Keeps one row of each group linked at 0.8 of five-word shingles, and all rows without words.
+
+    It is the row with the smallest (id, row key), rows without an id last; of
+    rows with the same id and text the smallest in all columns.
+    """
+    surplus = materialize(surplus_rows(docs).withColumnRenamed("row_key", "_row"), "pipeline-duplicates")
     keyed = docs.withColumn("_row", row_key())
-    return keyed.join(materialize(gone, "pipeline-duplicates"), "_row", "left_anti").select(*docs.columns)
+    kept = keyed.join(surplus.drop("chosen"), "_row", "left_anti").select(*docs.columns)
+    repeated = surplus.where("chosen").select("_row")
+    if repeated.isEmpty():
+        return kept
+    once = keyed.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("least"))
+    return kept.union(once.select(*(F.col(f"least.{c}") for c in docs.columns)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,27 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, row, n, s1, s2, sig) of each row, and (s1, s2, id, node, component) of each distinct set.
+
+    ``node`` is the row key and ``id`` the id of the smallest (id is null, id,
+    row key) that has the set; a component is named by one of its nodes.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    sets = materialize(base.mapInArrow(_set_batches(words), SET_DDL), "minhash-sets")
+    nodes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("m"), F.first("sig").alias("sig"))
+    nodes = materialize(nodes.select("s1", "s2", F.col("m.id").alias("id"), F.col("m.row").alias("node"), "sig"), "minhash-nodes")
+
+    def texts(needed: DataFrame) -> DataFrame:
+        return prefilter(base.select(F.col("row").alias("node"), "text"), needed).join(needed, "node").dropDuplicates(["node"])
+
+    signed = nodes.select("node", "sig")
+    named = linked_classes(signature_members(signed, ROWS, BANDS), texts, lambda c: shingle_sets(c, words), percent=percent, block=BLOCK, what="minhash", nodes=signed, minima=BANDS * ROWS)
+    classed = nodes.select("s1", "s2", "id", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = materialize(classed.select("s1", "s2", "id", "node", "component"), "minhash-classed")
+    return sets, classed
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Components of the documents linked by ``100 * intersection >= percent * union`` of their word shingles.
 
@@ -84,18 +105,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     document of a component has an id, its ``component_id`` is null and it is
     kept.  Further columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    sets = materialize(base.mapInArrow(_set_batches(words), SET_DDL), "minhash-sets")
-    nodes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("m"), F.first("sig").alias("sig"))
-    nodes = materialize(nodes.select("s1", "s2", F.col("m.id").alias("id"), F.col("m.row").alias("node"), "sig"), "minhash-nodes")
-
-    def texts(needed: DataFrame) -> DataFrame:
-        return prefilter(base.select(F.col("row").alias("node"), "text"), needed).join(needed, "node").dropDuplicates(["node"])
-
-    signed = nodes.select("node", "sig")
-    named = linked_classes(signature_members(signed, ROWS, BANDS), texts, lambda c: shingle_sets(c, words), percent=percent, block=BLOCK, what="minhash", nodes=signed, minima=BANDS * ROWS)
-    classed = nodes.select("s1", "s2", "id", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classed = materialize(classed.select("s1", "s2", "id", "component"), "minhash-classed")
+    sets, classed = _grouped(docs, id_col, text_col, words, percent)
     least = materialize(classed.groupBy("component").agg(F.min("id").alias("component_id")), "minhash-least")
     final = materialize(classed.join(least, "component").select("s1", "s2", F.lit(True).alias("found"), "component_id"), "minhash-final")
     out = sets.select("id", "n", "s1", "s2", "row").join(final, ["s1", "s2"], "left")
@@ -103,5 +113,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), F.col("row").alias("row_key"))
 
 
+def surplus_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(row_key, chosen): what has to go for one row of each component of :func:`near_duplicates` to be left.
+
+    Of a component the smallest (id is null, id, row key) is chosen.  Listed
+    are the keys that are not, and with ``chosen`` those that are but belong to
+    several rows (same id and text).  Rows without words are in no component.
+    """
+    sets, classed = _grouped(docs, id_col, text_col, words, percent)
+    chosen = classed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("m")).select(F.col("m.node").alias("row"), F.lit(True).alias("chosen"))
+    rows = sets.where("n > 0").groupBy("row").agg(F.count(F.lit(1)).alias("copies")).join(chosen, "row", "left")
+    return rows.where("chosen is null or copies > 1").select(F.col("row").alias("row_key"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2).drop("row_key")

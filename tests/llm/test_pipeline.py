@@ -39,3 +39,25 @@ def test_stages_survive_edges(spark, data, nasty, empty):
 def test_run_is_the_chain_of_stages(spark, data):
     rows = P.run(spark, data).collect()
     assert rows and Counter(r.shard for r in rows).keys() <= set(range(8))
+
+
+def test_one_row_of_each_group_is_left(spark, data):
+    """Equal rows, near copies under one id and groups without ids leave one row; rows without words all stay."""
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    a, b, c = words("a", 80), words("b", 80), words("c", 80)
+    rows = [(1, a, "en", s, 1) for s in ("z", "y", "y", None, "x")] + [(1, f"{a} {k}", "en", "s", 1) for k in range(4)] + [(7, a, "en", "s", 1), (None, a, "en", "s", 1)]
+    rows += [(None, b, "en", "s", 1)] * 5 + [(None, f"{b} {k}", "en", "s", 1) for k in range(3)]
+    rows += [(None, None, "en", "s", 1)] * 2 + [(3, None, "en", "s", 1)] * 2 + [(4, " \n", "en", "s", 1)] * 2 + [(None, "", "en", "s", 1)] * 2
+    rows += [(1, c, "en", "s", 1), (5, words("d", 3), "en", "s", 1), (5, words("d", 3), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_dedup_stage(spark, docs, data)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    of = lambda t: [x for x in left if (x[1] or "").startswith(t)]
+    assert len(of(a)) == 1 and of(a)[0][0] == 1 and len(of(b)) == 1 and of(c) == [(1, c)] and of("dw0") == [(5, words("d", 3))]
+    assert Counter(x for x in left if not (x[1] or "").strip()) == Counter({(None, None): 2, (3, None): 2, (4, " \n"): 2, (None, ""): 2})
+    assert len(left) == 12
+    again = P.near_dedup_stage(spark, docs.repartition(7), data)
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got.collect()))
+    unique = docs.where("doc_id = 7 or text is null")
+    assert Counter(map(tuple, P.near_dedup_stage(spark, unique, data).collect())) == Counter(map(tuple, unique.collect()))
