@@ -18,9 +18,12 @@ from planforge.llm.storage import materialize
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of which no language can be told: null texts and texts without a letter."""
+    """Drops the documents of which no language can be told: null texts and texts without a letter.
+
+    If no document has a language to learn from, the same ones are dropped.
+    """
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").alias("key"), "text", "lang")
-    told = predict_language(docs, train_language(rows), carry=tuple(docs.columns))
+    told = predict_language(docs, train_language(rows), carry=tuple(docs.columns), without_model="")
     return told.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

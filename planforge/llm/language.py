@@ -155,11 +155,11 @@ def train_language(rows: DataFrame, *, per_language: int = PER_LANGUAGE, most_ro
     return fit_hierarchy(x[order], langs[order])
 
 
-def predict_language(docs: DataFrame, model: Hierarchy | None, *, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict_language(docs: DataFrame, model: Hierarchy | None, *, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), without_model: str = UNKNOWN) -> DataFrame:
     """``carry``, ``lang_pred`` and ``score``: one row per input row, from the text alone.
 
-    ``und`` with score 0 for null texts, texts without a letter, and for all
-    texts without a model.  Texts too short for a bigram get the model's bias.
+    ``und`` with score 0 for null texts and texts without a letter.  Without a
+    model the others get ``without_model`` with score 0.  Texts too short for a bigram get the model's bias.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(len(carry))]
@@ -171,7 +171,9 @@ def predict_language(docs: DataFrame, model: Hierarchy | None, *, text_col: str
             for c in K.chunks(batch.column(len(names))):
                 lang, score = np.full(len(c), UNKNOWN, dtype=object), np.zeros(len(c))
                 ok = has_letter(c)
-                if sent.value is not None and ok.any():
+                if sent.value is None:
+                    lang[ok] = without_model
+                elif ok.any():
                     got, s = sent.value.predict(profiles(c))
                     lang[ok], score[ok] = got[ok], s[ok]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.first, len(c)) for i in range(len(names))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])

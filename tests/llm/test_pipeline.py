@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 
 from planforge.llm.decontaminate import decontaminate
 from planforge.llm.minhash import near_duplicates
@@ -61,3 +62,13 @@ def test_one_row_of_each_group_is_left(spark, data):
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got.collect()))
     unique = docs.where("doc_id = 7 or text is null")
     assert Counter(map(tuple, P.near_dedup_stage(spark, unique, data).collect())) == Counter(map(tuple, unique.collect()))
+
+
+def test_language_stage_without_languages(spark, data, nasty):
+    """Nothing to learn from (no lang, or no doc_id): only null and letterless texts go."""
+    docs = nasty.select("doc_id", "text", "lang", "source", "n_chars")
+    for column in ("lang", "doc_id"):
+        bare = docs.withColumn(column, F.lit(None).cast(dict(docs.dtypes)[column]))
+        want = Counter(tuple(r) for r in bare.collect() if any(c.isalpha() for c in r.text or ""))
+        got = P.language_stage(spark, bare, data)
+        assert got.columns == docs.columns and want and Counter(map(tuple, got.collect())) == want
