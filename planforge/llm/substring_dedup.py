@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing."""
+"""Word-level deduplication by winnowing and an exchange of hashes; factors are put together for output."""
 
 from __future__ import annotations
 
@@ -16,9 +16,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     The reference is the corpus itself, cut into blocks: the ``2 * length - 25``
     words around each winnowed 25-word seed, so that every window lies in a block.
-    Blocks are indexed by their seed and owned by the smallest document.  Each
-    document is factored greedily against the index: a factor runs on as long as
-    the next window has the same owner.  Where a seed has several blocks, as at
+    Blocks are indexed by their seed and owned by the smallest document.  In place
+    of a greedy relative Lempel-Ziv parse, hashes decide each window by itself
+    (:mod:`planforge.llm.repeats`); a factor is then a run of decided windows
+    with the same owner.  Where a seed has several blocks, as at
     the ends of factors, each window is looked up for itself.
 
     Returns ``id_col, n_units, n_removed, n_spans, factors, kept``: one row per

@@ -1,4 +1,4 @@
-"""Suffix-array deduplication by a common-prefix-aware distributed merge sort."""
+"""Byte-level deduplication: sampled suffixes find candidates, hashes of windows decide."""
 
 from __future__ import annotations
 
@@ -14,6 +14,12 @@ SEED = 24
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Removes each byte covered by a ``length``-byte string of a document with a smaller id.
 
+    In place of a full suffix array and a merge sort with a loser tree this runs
+    by winnowing and hash exchange: whether ``length`` bytes repeat is decided by
+    64-bit hashes of neighbourhoods and windows (:mod:`planforge.llm.repeats`),
+    never by suffix order or common prefixes.  Only the first round handles
+    suffixes, ``seed`` bytes of each, to sift out places without a partner:
+
     A sparse suffix array: suffixes are kept at winnowed positions, one of which
     lies in every ``length``-byte string.  Each run of documents sorts its
     suffixes, front-codes them in 8-byte digits (digits shared with the suffix
