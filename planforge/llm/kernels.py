@@ -3,19 +3,24 @@
 All functions work on a :class:`Chunk`: the bytes of a few documents laid end
 to end plus their offsets.  Words are maximal runs of bytes outside
 ``{0x20, 0x09..0x0D}``; those separators are ASCII, so splitting bytes equals
-splitting code points.  Hashes are 64-bit polynomial prefix sums over a random
-byte table, so the hash of any byte or word range is one subtraction.
+splitting code points.  Hashes of short ranges are 64-bit polynomial prefix sums
+over a random byte table, so that a range costs one subtraction.  Modulo 2**64
+such polynomials have texts of some hundred units that collide by construction
+(Thue-Morse words), so ranges of ``LONG`` units and more are digested instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 18
+CHUNK_ROWS = 1 << 16
+LONG = 64  # units from which on a range is digested
 
 _RNG = np.random.default_rng(20240607)
 _BYTE_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,7 +52,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_BASE2)
+_POWERS = (_Powers(_BASE), _Powers(_BASE2))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,14 +97,14 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarra
         yield raw, off
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cuts a string column into chunks of about ``size`` bytes of whole documents."""
+def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[Chunk]:
+    """Cuts a string column into chunks of about ``size`` bytes of whole documents, at most ``rows`` of them."""
     row = 0
     for raw, off in text_buffers(column):
         n, i = len(off) - 1, 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
-            j = min(j, n, i + 65536)
+            j = min(j, n, i + rows)
             yield Chunk(row + i, raw[off[i] : off[j]], off[i:j] - off[i], off[i + 1 : j + 1] - off[i])
             i = j
         row += n
@@ -137,54 +142,66 @@ def words(chunk: Chunk, data: np.ndarray | None = None) -> Words:
     return Words(s, e, np.concatenate([np.searchsorted(s, chunk.starts), [len(s)]]))
 
 
-def byte_prefix(data: np.ndarray) -> np.ndarray:
-    """C with C[j] - C[i] = sum of T[b] * base**position over [i, j)."""
-    up, _ = _BYTE_POWERS.upto(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    terms = _BYTE_TABLE[data]
-    terms *= up[:-1]
-    np.cumsum(terms, out=out[1:])
-    return out
+@dataclass
+class Prefix:
+    """Prefix sums of a sequence: ``sums[j] - sums[i]`` is the sum of term * base**position over [i, j)."""
 
+    sums: np.ndarray
+    raw: np.ndarray
+    powers: _Powers
+    salt: int
 
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers = _BYTE_POWERS) -> np.ndarray:
-    """Position-independent hash of each range, length included."""
-    _, down = powers.upto(len(prefix))
-    h = prefix[ends]
-    h -= prefix[starts]
-    h *= down[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-    return mix(h)
+    def __len__(self) -> int:
+        return len(self.raw)
 
 
-def gram_hashes(prefix: np.ndarray, width: int, powers: _Powers = _BYTE_POWERS) -> np.ndarray:
-    """range_hash of every range of ``width`` positions."""
-    n = max(0, len(prefix) - width)
-    _, down = powers.upto(len(prefix))
-    h = prefix[width:] - prefix[:n]
-    h *= down[:n]
-    h += np.uint64(width * 0x632BE59BD9B4E019 % (1 << 64))
-    return mix(h)
+def _prefix(terms: np.ndarray, raw: np.ndarray, salt: int) -> Prefix:
+    """Overwrites ``terms``."""
+    up, _ = _POWERS[salt].upto(len(terms) + 1)
+    sums = np.zeros(len(terms) + 1, dtype=np.uint64)
+    terms *= up[:-1]
+    np.cumsum(terms, out=sums[1:])
+    return Prefix(sums, np.ascontiguousarray(raw), _POWERS[salt], salt)
 
 
-def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
-    return range_hash(byte_prefix(data), w.starts, w.ends)
+def byte_prefix(data: np.ndarray, salt: int = 0) -> Prefix:
+    return _prefix(_BYTE_TABLE[data], data, salt)
 
 
-def token_prefix(tokens: np.ndarray) -> np.ndarray:
-    """As byte_prefix, over a sequence of 64-bit tokens."""
-    up, _ = _WORD_POWERS.upto(len(tokens) + 1)
-    out = np.zeros(len(tokens) + 1, dtype=np.uint64)
-    np.cumsum(mix(tokens) * up[:-1], out=out[1:])
-    return out
+def token_prefix(tokens: np.ndarray, salt: int = 1, raw: np.ndarray | None = None) -> Prefix:
+    """As byte_prefix, over integers; ``raw``: the same sequence in fewer bytes, for digests."""
+    return _prefix(mix(tokens.astype(np.uint64)), tokens if raw is None else raw, salt)
 
 
-def token_range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(prefix, starts, ends, _WORD_POWERS)
+def range_hash(p: Prefix, starts: np.ndarray, ends: np.ndarray, digests: bool = True) -> np.ndarray:
+    """Position-independent hash of each range, length included; two salts give independent hashes."""
+    _, down = p.powers.upto(len(p.sums))
+    size = ends - starts
+    h = p.sums[ends]
+    h -= p.sums[starts]
+    h *= down[starts]
+    h += size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    h = mix(h)
+    if not digests:
+        return h
+    salt = bytes([p.salt])
+    for i in np.flatnonzero(size >= LONG):
+        h[i] = int.from_bytes(blake2b(p.raw[starts[i] : ends[i]], digest_size=8, salt=salt).digest(), "little")
+    return h
+
+
+def gram_hashes(p: Prefix, width: int) -> np.ndarray:
+    """A hash of every range of ``width`` positions, without digests: equal ranges have equal ones."""
+    n = max(0, len(p) - width + 1)
+    _, down = p.powers.upto(len(p.sums))
+    h = p.sums[width:] - p.sums[:n]
+    h *= down[:n]
+    h += np.uint64(width * 0x632BE59BD9B4E019 % (1 << 64))
+    return mix(h)
 
 
-def token_gram_hashes(prefix: np.ndarray, width: int) -> np.ndarray:
-    return gram_hashes(prefix, width, _WORD_POWERS)
+def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
+    return range_hash(byte_prefix(data), w.starts, w.ends)
 
 
 def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -205,12 +222,14 @@ _PLACES = np.arange(1 << 19, dtype=np.uint64) & _LOW
 def minimizers(h: np.ndarray, window_ok: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, first window, end of windows): the least hash of each valid window of ``width`` values.
 
-    ``window_ok[j]`` says whether window ``[j, j+width)`` counts; width is under
-    64.  The low bits of the compared keys hold the place, so that the minimum
+    ``window_ok[j]`` says whether window ``[j, j+width)`` counts; width is 64 at
+    most.  The low bits of the compared keys hold the place, so that the minimum
     tells its position; consecutive windows share it, and each position is
     listed once.  Equal windows have minima of equal hashes.
     """
     n = len(h)
+    if not 0 < width <= 64:
+        raise ValueError("a window has 1 to 64 values")
     if n < width:
         return (np.zeros(0, np.int64),) * 3
     key = h & ~_LOW
@@ -229,7 +248,4 @@ def minimizers(h: np.ndarray, window_ok: np.ndarray, width: int) -> tuple[np.nda
 
 def set_bits(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Boolean mask of the union of ranges over [0, n)."""
-    edge = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, ends, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:-1] > 0

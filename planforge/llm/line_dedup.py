@@ -42,8 +42,8 @@ class Lines:
         keep = j > i
         self.cps, self.doc, self.number = cps, doc[keep], number[keep]
         self.starts, self.ends = solid[i[keep]], solid[j[keep] - 1] + 1
-        self.prefix = K.token_prefix(cps.astype(np.uint64))
-        self.node = K.token_range_hash(self.prefix, self.starts, self.ends).view(np.int64)
+        self.prefix = K.token_prefix(cps, raw=cps)
+        self.node = K.range_hash(self.prefix, self.starts, self.ends).view(np.int64)
 
     def texts(self, which: np.ndarray) -> list[str]:
         raw = self.cps.tobytes()
@@ -56,12 +56,12 @@ def _shingles(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     n = np.maximum(size - SHINGLE + 1, 1)
     line = np.repeat(np.arange(len(starts)), n)
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + starts[line]
-    grams = K.token_gram_hashes(prefix, SHINGLE)
+    grams = K.gram_hashes(prefix, SHINGLE)
     if not len(grams):
-        return K.token_range_hash(prefix, starts, ends), line
+        return K.range_hash(prefix, starts, ends), line
     h = grams[np.minimum(at, len(grams) - 1)]
     short = np.flatnonzero(size < SHINGLE)
-    h[(np.cumsum(n) - n)[short]] = K.token_range_hash(prefix, starts[short], ends[short])
+    h[(np.cumsum(n) - n)[short]] = K.range_hash(prefix, starts[short], ends[short])
     return h, line
 
 
@@ -90,7 +90,7 @@ def line_sets(c: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, taken whole as one line; as minhash.shingle_sets."""
     points = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
     cps = np.frombuffer(c.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    h, doc = _shingles(K.token_prefix(cps.astype(np.uint64)), points[c.starts], points[c.ends])
+    h, doc = _shingles(K.token_prefix(cps), points[c.starts], points[c.ends])
     bits = np.uint64(max(1, len(c).bit_length()))
     key = np.sort((doc.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key

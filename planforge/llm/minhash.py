@@ -33,7 +33,7 @@ def shingle_sets(c: K.Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = len(tokens) - words + 1
     at = np.flatnonzero(w.doc[:n] == w.doc[words - 1 :]) if n > 0 else np.zeros(0, np.int64)
     doc = np.concatenate([w.doc[at], short])
-    h = np.concatenate([K.token_range_hash(prefix, at, at + words), K.token_range_hash(prefix, w.first[short], w.first[short + 1])])
+    h = np.concatenate([K.range_hash(prefix, at, at + words), K.range_hash(prefix, w.first[short], w.first[short + 1])])
     bits = np.uint64(max(1, len(c).bit_length()))
     key = np.sort((doc.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
     if len(key):

@@ -73,7 +73,7 @@ def statistics(c: K.Chunk) -> dict[str, np.ndarray]:
     covered = np.zeros(len(tokens), bool)
     if n > 0:
         at = np.flatnonzero(doc[:n] == doc[REPEAT_WINDOW - 1 :])
-        any_, _ = _repeated(doc[at], K.token_range_hash(K.token_prefix(tokens), at, at + REPEAT_WINDOW))
+        any_, _ = _repeated(doc[at], K.range_hash(K.token_prefix(tokens), at, at + REPEAT_WINDOW))
         covered = K.set_bits(len(tokens), at[any_], at[any_] + REPEAT_WINDOW)
     out["n_repeat_words"] = np.bincount(doc[covered], minlength=len(c))
     out["n_chars"] = points[c.ends] - points[c.starts]

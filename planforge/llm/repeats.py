@@ -1,28 +1,35 @@
-"""Exact cross-document repeats of fixed length, shared by substring and suffix deduplication.
+"""Repeats across documents: what suffix-array and substring deduplication share.
 
 A window (``length`` consecutive bytes or words of one document) is *repeated*
-in document D if it also starts in a document with a smaller id.  Shuffling all
-windows would move many times the corpus, so the work is sampled without loss:
-
-* every window contains its *anchor*, the ``seed``-gram with the least hash
-  among those inside the window; equal windows have equal anchors (winnowing);
-* documents are dealt to runs by a hash of their id.  A run sorts what it has
-  found, pre-aggregates equal entries and sends one packed row to each bucket;
-  a bucket merges the sorted runs and answers each run, entry by entry;
-* round ``sift`` (bytes only) asks which anchors have any partner;
-* round ``blocks`` exchanges anchors with a hash of their whole neighbourhood
-  (every window around the anchor).  If all occurrences of an anchor have the
-  same neighbourhood, the smallest document owns it and the others are covered;
-* round ``windows`` decides, by 64-bit window hashes, the windows whose anchor
-  has several neighbourhoods: those at the edges of copied passages.
-
-A hot anchor costs a bucket one entry per run, not one per document, and no
-list of partners is formed anywhere.  Runs depend on document ids alone, so a
-lost executor's tasks can be repeated with the same result.
+in document D if it also starts in a document with a smaller id.  The units of
+both operators are entries, found and exchanged as follows:
+
+* every window has an *anchor*, the ``seed``-gram with the least hash among
+  those inside the window; equal windows have equal anchors at equal places
+  (winnowing), so only anchors and what surrounds them need to be compared;
+* documents are dealt to runs by a hash of their content; equal rows of a batch
+  are put together first, so one repeated row does not fill a run;
+* round ``sift`` asks, by 40-bit hashes, which anchors several documents have.
+  A chance collision only lets an anchor through;
+* round ``match`` exchanges the entries of those anchors: the units of all
+  windows around the anchor, equal ones of a run once, with their smallest
+  document.  A bucket compares the entries unit by unit (bytes, or 64-bit
+  hashes of single words) and answers each run, entry by entry.  How it does
+  that is the operator's own method;
+* an anchor with more than ``hot`` different surroundings is taken apart: each
+  of its windows is an entry by itself, dealt by the window's hash.  So neither
+  a hot passage nor a hot phrase fills one bucket.
+
+Anchors are dealt to buckets by a second hash, since an anchor's own hash is a
+minimum and so mostly small.  A run sends a bucket at most one packed row and
+none if it has nothing, so the exchange has at most as many rows as entries.
+Runs depend on the rows' content alone: a lost executor's tasks can be repeated
+with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,27 +41,27 @@ from . import kernels as K
 
 BLOB = "run long, bucket long, blob binary"
 NO_DOC = np.iinfo(np.int64).max
-MIXED = np.uint64(0)
-UNSHARED, UNIFORM, VARIED = 0, 1, 2
+ALONE, SHARED, HOT = 0, 1, 2
+MOST = 255  # surroundings of an anchor that a run counts
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What a window is: ``unit`` byte or word, its length and its anchor's length."""
+    """What a window is: ``unit`` byte or word, and its length."""
 
     unit: str
     length: int
-    seed: int
     buckets: int
+    hot: int = 1024
 
     @property
     def width(self) -> int:
-        return self.length - self.seed + 1
+        """Seeds in a window, and so windows around an anchor."""
+        return max(1, min(26, self.length // 2))
 
     @property
-    def digits(self) -> int:
-        """Bytes: the anchor itself as big-endian 8-byte digits; words: its hash."""
-        return self.seed // 8 if self.unit == "byte" else 1
+    def seed(self) -> int:
+        return self.length - self.width + 1
 
 
 # --- packing -----------------------------------------------------------------
@@ -84,44 +91,26 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def front_code(digits: list[np.ndarray]) -> list[np.ndarray]:
-    """Sorted rows of digits as: leading digits shared with the row before, then only the rest."""
-    n = len(digits[0])
-    fresh, common, parts = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.uint8), []
-    fresh[:1] = True
-    for d in digits:
-        fresh = fresh.copy()
-        fresh[1:] |= d[1:] != d[:-1]
-        common += ~fresh
-        kept = d[fresh]
-        parts.append(np.diff(kept, prepend=np.uint64(0)) if not parts else kept)
-    return [common, *parts]
+def spread(h: np.ndarray) -> np.ndarray:
+    """A second, even hash of hashes of which minima were taken."""
+    return K.mix(K.mix(h ^ np.uint64(0xA0761D6478BD642F)))
 
 
-def front_decode(coded: list[np.ndarray]) -> list[np.ndarray]:
-    common, parts = coded[0], coded[1:]
-    out = []
-    for level, part in enumerate(parts):
-        at = np.cumsum(common <= level) - 1
-        values = np.cumsum(part, dtype=np.uint64) if level == 0 else part
-        out.append(values[at])
-    return out
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def merge_runs(runs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Merges sorted runs of digit rows: (order over the concatenation, group number in order).
+def blob_rows(run: int, pieces: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"run": pa.array([run] * len(pieces), pa.int64()), "bucket": pa.array([b for b, _ in pieces], pa.int64()), "blob": pa.array([x for _, x in pieces], pa.binary())})
 
-    The tournament is played one digit at a time for all heads at once.  The
-    stable sort of the first digit merges the runs as they stand; afterwards
-    only rows that are still tied go on to the next digit, so a prefix once
-    found equal is never compared again.
-    """
-    digits = [np.concatenate(d) for d in zip(*runs, strict=True)]
-    order = np.argsort(digits[0], kind="stable")
-    first = digits[0][order]
+
+def sort_rows(columns: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by several columns; only rows that are still tied look at the next column."""
+    order = np.argsort(columns[0], kind="stable")
+    value = columns[0][order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = first[1:] != first[:-1]
-    for d in digits[1:]:
+    new[1:] = value[1:] != value[:-1]
+    for c in columns[1:]:
         tied = ~new
         tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied)
@@ -129,327 +118,239 @@ def merge_runs(runs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             break
         group = np.cumsum(new)[at]
         rows = order[at]
-        rows = rows[np.lexsort((d[rows], group))]
+        rows = rows[np.lexsort((c[rows], group))]
         order[at] = rows
-        value = d[rows]
+        value = c[rows]
         new[at[1:]] |= (value[1:] != value[:-1]) | (group[1:] != group[:-1])
-    return order, np.cumsum(new) - 1
+    return order
 
 
 # --- one run -------------------------------------------------------------------
 
 
-def _owners(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def owners(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The document of each position; both sorted."""
     count = np.diff(np.append(np.searchsorted(at, starts), len(at)))
     return np.repeat(np.arange(len(starts)), count)
 
 
 class Run:
-    """The documents of one run and their anchors."""
+    """The documents of one run and their anchors.
+
+    Per anchor: ``fp`` its hash, ``ctx`` the hash of its surroundings, ``doc``
+    the document's id, ``row``, ``pos`` its place in the chunk's units, ``at``
+    its place in the document, and ``most``, ``least``: the units that the
+    farthest and the nearest of its windows have to the left of it.
+    """
+
+    FIELDS = (("fp", np.uint64), ("ctx", np.uint64), ("doc", np.int64), ("row", np.int64), ("pos", np.int64), ("at", np.int64), ("most", np.int64), ("least", np.int64))
 
     def __init__(self, spec: Spec, docs: pa.Table) -> None:
         self.spec = spec
-        ids = docs.column("id")
-        self.ids = ids.fill_null(NO_DOC).to_numpy().astype(np.int64)
+        self.ids = docs.column("id").fill_null(NO_DOC).to_numpy().astype(np.int64)
+        self.copies = docs.column("copies").to_numpy()
         self.text = docs.column("text")
-        self.first_anchor = [0]  # of each chunk
+        self.first = [0]  # anchor of each chunk
         found = [self._anchors(c) for c in self.chunks()]
-        self.fp, self.ctx, self.doc, self.row, self.lo, self.size, self.win, self.win_end, self.pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 7
+        for i, (name, dtype) in enumerate(self.FIELDS):
+            setattr(self, name, np.concatenate([np.zeros(0, dtype), *(x[i] for x in found)]))
 
     def chunks(self):
         return K.chunks(self.text)
 
-    def tokens(self, c: K.Chunk):
-        """(prefix, starts, ends, hash of ranges, words) of the chunk's documents in units."""
+    def units(self, c: K.Chunk):
+        """(units, prefix, documents' starts, ends, words) of a chunk: its bytes, or the hashes of its words."""
         if self.spec.unit == "byte":
-            return K.byte_prefix(c.data), c.starts, c.ends, K.range_hash, None
+            return c.data, K.byte_prefix(c.data), c.starts, c.ends, None
         w = K.words(c)
-        return K.token_prefix(K.word_hashes(c.data, w)), w.first[:-1], w.first[1:], K.token_range_hash, w
-
-    def grams(self, c: K.Chunk):
-        """Prefix, documents' starts and ends, range hash, hashes of all seed-grams, which windows are whole."""
-        prefix, starts, ends, ranged, _ = self.tokens(c)
-        n = len(prefix) - 1
-        size = ends - starts
-        tail = np.zeros(n + 1, dtype=np.int8)  # the last length - 1 positions of a document start no window
-        some = size > 0
-        tail[np.maximum(starts, ends - self.spec.length + 1)[some]] = 1
-        tail[ends[some]] -= 1
-        whole = np.cumsum(tail[:n], dtype=np.int8) == 0
-        grams = K.gram_hashes if self.spec.unit == "byte" else K.token_gram_hashes
-        return prefix, starts, ends, ranged, grams(prefix, self.spec.seed), whole
+        tokens = K.word_hashes(c.data, w)
+        return tokens, K.token_prefix(tokens), w.first[:-1], w.first[1:], w
 
     def _anchors(self, c: K.Chunk):
         s = self.spec
-        prefix, starts, ends, ranged, grams, whole = self.grams(c)
-        a, win, win_end = K.minimizers(grams, whole, s.width)
-        self.first_anchor.append(self.first_anchor[-1] + len(a))
-        at = _owners(a, starts)
-        lo, hi = np.maximum(a - (s.width - 1), starts[at]), np.minimum(a + s.length, ends[at])
-        ctx = ranged(prefix, lo, hi) | np.uint64(1)  # never MIXED
-        return grams[a], ctx, self.ids[c.first + at], c.first + at, lo - starts[at], hi - lo, win, win_end, a
-
-    def digits(self, at: np.ndarray) -> list[np.ndarray]:
-        """The digits of some anchors, given in order."""
-        if self.spec.unit == "word":
-            return [self.fp[at]]
-        out = [np.empty(len(at), dtype=np.uint64) for _ in range(self.spec.digits)]
-        cut = np.searchsorted(at, self.first_anchor)
-        for c, i, j in zip(self.chunks(), cut[:-1], cut[1:], strict=True):
-            a = self.pos[at[i:j]]
-            for d, v in enumerate(out):
-                x = np.zeros(j - i, dtype=np.uint64)
-                for b in range(8):
-                    x <<= np.uint64(8)
-                    x |= c.data[a + 8 * d + b]
-                v[i:j] = x
-        return out
-
-    def bucket(self, fp: np.ndarray) -> np.ndarray:
-        return ((fp >> np.uint64(32)) * np.uint64(self.spec.buckets)) >> np.uint64(32)
-
-
-def _cut(bucket: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(bucket, np.arange(buckets + 1))
-
-
-def _rows(run: int, pieces: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table({"run": pa.array([run] * len(pieces), pa.int64()), "bucket": pa.array([b for b, _ in pieces], pa.int64()), "blob": pa.array([x for _, x in pieces], pa.binary())})
+        units, prefix, starts, ends, _ = self.units(c)
+        n = len(units)
+        tail = np.zeros(n + 1, dtype=np.int32)  # the last length - 1 positions of a document start no window
+        some = ends > starts
+        np.add.at(tail, np.maximum(starts, ends - s.length + 1)[some], 1)
+        np.add.at(tail, ends[some], -1)
+        grams = K.gram_hashes(prefix, s.seed)
+        a, win, win_end = K.minimizers(grams, np.cumsum(tail[:n]) == 0, s.width)
+        self.first.append(self.first[-1] + len(a))
+        of = owners(a, starts)
+        ctx = K.range_hash(prefix, win, win_end - 1 + s.length, digests=False)  # only counted
+        return grams[a], ctx, self.ids[c.first + of], c.first + of, a, a - starts[of], a - win, a - (win_end - 1)
+
+
+def units_around(units: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, most_left: int, most_right: int, pad) -> tuple[np.ndarray, np.ndarray]:
+    """(units from pos on, units before pos, the nearest first); beyond ``left`` and ``right`` there is ``pad``."""
+    i, j = np.arange(most_right), np.arange(most_left)
+    after = units[np.minimum(pos[:, None] + i, len(units) - 1)]
+    after[i >= right[:, None]] = pad
+    before = units[np.maximum(pos[:, None] - 1 - j, 0)]
+    before[j >= left[:, None]] = pad
+    return after, before
 
 
-def _answers(flags: pa.Table) -> dict[str, dict[int, list[np.ndarray]]]:
-    """Round -> bucket -> columns; a bucket number holds its round in the low digit."""
-    out: dict[str, dict[int, list[np.ndarray]]] = {"sift": {}, "blocks": {}, "windows": {}}
-    for bucket, blob in zip(flags.column("bucket").to_pylist(), flags.column("blob").to_pylist(), strict=True):
-        out[("sift", "blocks", "windows")[bucket % 3]][bucket // 3] = unpack(blob)
-    return out
+# --- round sift ------------------------------------------------------------------
 
 
-# --- round sift ------------------------------------------------------------------
+def _key(r: Run) -> np.ndarray:
+    return spread(r.fp) >> np.uint64(24)
 
 
 def _sift_keys(r: Run):
-    """Sorted distinct 40-bit anchor hashes, whether several documents of the run have it, and the key of each anchor."""
-    key = r.fp >> np.uint64(24)
-    order = np.argsort(key, kind="stable")
-    k, d = key[order], r.doc[order]
+    """Sorted distinct 40-bit keys of the anchors, surroundings of each, whether several documents have it."""
+    key = _key(r)
+    order = np.lexsort((r.ctx, key))
+    k, d, x = key[order], r.doc[order], r.ctx[order]
     new = np.ones(len(k), dtype=bool)
     new[1:] = k[1:] != k[:-1]
+    other = new.copy()
+    other[1:] |= x[1:] != x[:-1]
     first = np.flatnonzero(new)
     several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(k) else np.zeros(0, bool)
-    of = np.empty(len(k), np.int64)
-    of[order] = np.cumsum(new) - 1
-    return k[first], several, of
-
-
-def _bucketed(r: Run, fp: np.ndarray) -> np.ndarray:
-    return _cut(r.bucket(fp), r.spec.buckets)
+    kinds = np.minimum(np.add.reduceat(other.astype(np.int64), first), MOST).astype(np.uint8) if len(k) else np.zeros(0, np.uint8)
+    return k[first], kinds, several
 
 
 def sift_send(spec: Spec, run: int, docs: pa.Table) -> pa.Table:
-    r = Run(spec, docs)
-    keys, several, _ = _sift_keys(r)
-    cut = _bucketed(r, keys << np.uint64(24))
-    return _rows(run, [(b, pack(np.diff(keys[i:j], prepend=np.uint64(0)), np.packbits(several[i:j]))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
+    keys, kinds, several = _sift_keys(Run(spec, docs))
+    cut = np.searchsorted(bucket_of(keys << np.uint64(24), spec.buckets), np.arange(spec.buckets + 1))
+    return blob_rows(run, [(b, pack(np.diff(keys[i:j], prepend=np.uint64(0)), kinds[i:j], np.packbits(several[i:j]))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
 
 
-def sift_answer(bucket: int, table: pa.Table) -> pa.Table:
+def sift_answer(spec: Spec, bucket: int, table: pa.Table) -> pa.Table:
     runs = table.column("run").to_pylist()
     got = [unpack(x) for x in table.column("blob").to_pylist()]
-    keys = [np.cumsum(x[0], dtype=np.uint64) for x in got]
-    several = np.concatenate([np.unpackbits(x[1])[: len(k)] for x, k in zip(got, keys, strict=True)]).astype(bool)
-    order, group = merge_runs([[k] for k in keys])
-    shared = np.bincount(group) > 1
-    shared |= np.bincount(group, weights=several[order]) > 0
-    back = np.empty(len(order), dtype=bool)
-    back[order] = shared[group]
-    parts = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
-    return pa.table({"run": pa.array(runs, pa.int64()), "bucket": pa.array([bucket * 3] * len(runs), pa.int64()), "blob": pa.array([pack(np.packbits(p), np.array([len(p)])) for p in parts], pa.binary())})
-
-
-def _sifted(r: Run, answers: dict[int, list[np.ndarray]]) -> np.ndarray:
-    """Which anchors may be shared."""
-    if r.spec.unit == "word":
-        return np.ones(len(r.fp), dtype=bool)
-    _, _, of = _sift_keys(r)
-    shared = np.concatenate([np.zeros(0, bool), *(np.unpackbits(x[0])[: x[1][0]].astype(bool) for _, x in sorted(answers.items()))])
-    return shared[of]
-
-
-# --- round blocks ----------------------------------------------------------------
-
-
-def _block_entries(r: Run, use: np.ndarray):
-    """Distinct anchors sorted by bucket and digits: (anchor rows, entry of each, bucket, digits, doc, ctx, several)."""
-    at = np.flatnonzero(use)
-    bucket = r.bucket(r.fp[at])
-    digits = r.digits(at)
-    order, group = merge_runs([[bucket, *digits]])
-    rows = at[order]
-    if not len(rows):
-        z = np.zeros(0, np.int64)
-        return rows, z, bucket, [z.astype(np.uint64)] * r.spec.digits, z, z.astype(np.uint64), z.astype(bool)
-    first = np.flatnonzero(np.diff(group, prepend=-1))
-    least, most = np.minimum.reduceat(r.doc[rows], first), np.maximum.reduceat(r.doc[rows], first)
-    c0, c1 = np.minimum.reduceat(r.ctx[rows], first), np.maximum.reduceat(r.ctx[rows], first)
-    return rows, group, bucket[order][first], [d[order[first]] for d in digits], least, np.where(c0 == c1, c0, MIXED), least != most
+    sizes = [len(x[0]) for x in got]
+    key = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
+    several = np.concatenate([np.unpackbits(x[2])[:n] for x, n in zip(got, sizes, strict=True)])
+    kinds = np.concatenate([x[1] for x in got]).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    count = np.diff(np.append(first, len(k)))
+    shared = (count > 1) | (np.maximum.reduceat(several[order], first) > 0)
+    status = np.where(shared, np.where(np.add.reduceat(kinds[order], first) > spec.hot, HOT, SHARED), ALONE).astype(np.uint8)
+    back = np.empty(len(k), np.uint8)
+    back[order] = np.repeat(status, count)
+    return answer_rows(runs, bucket * 2, [pack(x) for x in np.split(back, np.cumsum(sizes)[:-1])])
 
 
-def blocks_send(spec: Spec, run: int, docs: pa.Table, flags: pa.Table | None) -> pa.Table:
-    r = Run(spec, docs)
-    _, _, bucket, digits, doc, ctx, several = _block_entries(r, _sifted(r, _answers(flags)["sift"] if flags is not None else {}))
-    cut = _cut(bucket, spec.buckets)
-    pieces = []
-    for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if i < j:
-            pieces.append((b, pack(doc[i:j], ctx[i:j], np.packbits(several[i:j]), *front_code([d[i:j] for d in digits]))))
-    return _rows(run, pieces)
+def answer_rows(runs: list[int], bucket: int, blobs: list[bytes]) -> pa.Table:
+    return pa.table({"run": pa.array(runs, pa.int64()), "bucket": pa.array([bucket] * len(runs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
-def blocks_answer(bucket: int, table: pa.Table) -> pa.Table:
-    runs = table.column("run").to_pylist()
-    got = [unpack(x) for x in table.column("blob").to_pylist()]
-    sizes = [len(x[0]) for x in got]
-    order, group = merge_runs([front_decode(x[3:]) for x in got])
-    doc, ctx = np.concatenate([x[0] for x in got])[order], np.concatenate([x[1] for x in got])[order]
-    several = np.concatenate([np.unpackbits(x[2])[:n] for x, n in zip(got, sizes, strict=True)])[order]
-    first = np.flatnonzero(np.diff(group, prepend=-1))
-    shared = (np.diff(np.append(first, len(order))) > 1) | (np.maximum.reduceat(several, first) > 0)
-    least, c0, c1 = np.minimum.reduceat(doc, first), np.minimum.reduceat(ctx, first), np.maximum.reduceat(ctx, first)
-    status = np.where(~shared, UNSHARED, np.where((c0 == c1) & (c0 != MIXED), UNIFORM, VARIED)).astype(np.uint8)
-    back_s, back_d = np.empty(len(order), np.uint8), np.empty(len(order), np.int64)
-    back_s[order], back_d[order] = status[group], np.where(status == UNIFORM, least, 0)[group]
-    cuts = np.cumsum(sizes)[:-1]
-    blobs = [pack(s, d[s == UNIFORM]) for s, d in zip(np.split(back_s, cuts), np.split(back_d, cuts), strict=True)]
-    return pa.table({"run": pa.array(runs, pa.int64()), "bucket": pa.array([bucket * 3 + 1] * len(runs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
-
-
-class Resolved:
-    """A run after round blocks: the covered neighbourhoods and the windows left to decide."""
-
-    def __init__(self, r: Run, answers: dict[str, dict[int, list[np.ndarray]]]) -> None:
-        self.run = r
-        rows, group, *_ = _block_entries(r, _sifted(r, answers["sift"]))
-        got = [x for _, x in sorted(answers["blocks"].items())]
-        status = np.concatenate([np.zeros(0, np.uint8), *(x[0] for x in got)])
-        owner = np.full(len(status), NO_DOC)
-        owner[status == UNIFORM] = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in got)])
-        covered, varied = owner[group] < r.doc[rows], status[group] == VARIED
-        at = rows[covered]
-        order = np.argsort(at, kind="stable")
-        at, group = at[order], group[covered][order]
-        self.row, self.lo, self.size, self.owner = r.row[at], r.lo[at], r.size[at], owner[group]
-        self.varied = rows[varied]
-        self.varied.sort()
-
-    def windows(self, number: int, c: K.Chunk):
-        """(hash, start in chunk, document id) of the chunk's undecided windows; (start, owner) of its covered ones."""
-        r, s = self.run, self.run.spec
-        prefix, starts, _, ranged, _ = r.tokens(c)
-        owner = np.full(len(prefix) - 1, NO_DOC)
-        i, j = np.searchsorted(self.row, [c.first, c.first + len(c)])
-        lo, size, who = self.lo[i:j] + starts[self.row[i:j] - c.first], self.size[i:j], self.owner[i:j]
-        for step in range(s.width):  # every window inside a covered neighbourhood is repeated; it has at most that many
-            ok = step + s.length <= size
-            np.minimum.at(owner, lo[ok] + step, who[ok])
-        i, j = np.searchsorted(self.varied, r.first_anchor[number : number + 2])
-        anchor = self.varied[i:j]
-        n = r.win_end[anchor] - r.win[anchor]
-        of = np.repeat(np.arange(len(anchor)), n)
-        at = np.arange(int(n.sum())) - (np.cumsum(n) - n)[of] + r.win[anchor][of]
-        left = owner[at] == NO_DOC
-        at = at[left]
-        covered = np.flatnonzero(owner < NO_DOC)
-        return ranged(prefix, at, at + s.length), at, r.doc[anchor[of[left]]], covered, owner[covered], len(owner)
-
-
-# --- round windows ---------------------------------------------------------------
-
-
-def _window_entries(res: Resolved):
-    """The run's undecided windows: (sorted distinct hashes, smallest document of each, entry of each window, per chunk).
-
-    Per chunk: (chunk, undecided starts, their documents, covered starts, their owners, units).
-    """
-    h, d, per_chunk = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-    for number, c in enumerate(res.run.chunks()):
-        hashes, at, doc, *covered = res.windows(number, c)
-        h.append(hashes)
-        d.append(doc)
-        per_chunk.append((c, at, doc, *covered))
-    h, d = np.concatenate(h), np.concatenate(d)
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    first = np.flatnonzero(new)
-    entry = np.empty(len(h), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    return h[first], np.minimum.reduceat(d, first) if len(h) else d, entry, per_chunk
+def _status(r: Run, answers: dict[int, list[np.ndarray]]) -> np.ndarray:
+    _, of = np.unique(_key(r), return_inverse=True)
+    return np.concatenate([np.zeros(0, np.uint8), *(x[0] for _, x in sorted(answers.items()))])[of]
 
 
-def windows_send(spec: Spec, run: int, docs: pa.Table, flags: pa.Table) -> pa.Table:
-    r = Run(spec, docs)
-    h, d, *_ = _window_entries(Resolved(r, _answers(flags)))
-    cut = _bucketed(r, h)
-    return _rows(run, [(b, pack(np.diff(h[i:j], prepend=np.uint64(0)), d[i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
+def answers_of(flags: pa.Table) -> tuple[dict[int, list[np.ndarray]], dict[int, list[np.ndarray]]]:
+    """Answers of the two rounds by bucket; a bucket's number holds the round in its lowest bit."""
+    out: tuple[dict, dict] = ({}, {})
+    for bucket, blob in zip(flags.column("bucket").to_pylist(), flags.column("blob").to_pylist(), strict=True):
+        out[bucket % 2][bucket // 2] = unpack(blob)
+    return out
 
 
-def windows_answer(bucket: int, table: pa.Table) -> pa.Table:
-    """For each run, the windows that a smaller document of another run has, and that document."""
-    runs = table.column("run").to_pylist()
-    got = [unpack(x) for x in table.column("blob").to_pylist()]
-    keys = [np.cumsum(x[0], dtype=np.uint64) for x in got]
-    doc = np.concatenate([x[1] for x in got])
-    order, group = merge_runs([[k] for k in keys])
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(np.diff(group, prepend=-1)))
-    back = np.empty(len(order), np.int64)
-    back[order] = least[group]
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    blobs = []
-    for k, mine, best in zip(keys, np.split(doc, cuts), np.split(back, cuts), strict=True):
-        at = np.flatnonzero((best < mine))
-        blobs.append(pack(np.diff(k[at], prepend=np.uint64(0)), best[at]))
-    return pa.table({"run": pa.array(runs, pa.int64()), "bucket": pa.array([bucket * 3 + 2] * len(runs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+# --- round match -------------------------------------------------------------------
 
 
-# --- result ------------------------------------------------------------------------
+@dataclass
+class Entries:
+    """What a run sends: distinct surroundings of shared anchors and distinct windows of hot ones.
 
+    Rows are sorted by bucket, then by their units.  ``after`` are the units
+    from the anchor on, ``before`` those to its left, nearest first; ``right``
+    and ``left`` say how many count.  ``most`` (equal to ``left``) and ``least``
+    bound the windows.  ``doc`` is the smallest document, ``at`` its place.
+    ``of`` maps the run's occurrences (``chunk_pos``, ``row``, ``doc_of``) to rows.
+    """
 
-def _list(dtype: pa.DataType, counts: np.ndarray, values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+    bucket: np.ndarray
+    after: np.ndarray
+    before: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    of: np.ndarray
+    chunk: np.ndarray
+    pos: np.ndarray
+    row: np.ndarray
+    doc_of: np.ndarray
+    at_of: np.ndarray
+
+
+def as_digits(after: np.ndarray) -> list[np.ndarray]:
+    """Columns in which rows of units compare: big-endian 8-byte digits, or the units themselves."""
+    if after.dtype != np.uint8:
+        return [np.ascontiguousarray(after[:, i]) for i in range(after.shape[1])]
+    n, w = after.shape
+    wide = np.full((n, -(-w // 8) * 8), 0xFF, np.uint8)
+    wide[:, :w] = after
+    digits = wide.view(">u8").astype(np.uint64)
+    return [np.ascontiguousarray(digits[:, i]) for i in range(digits.shape[1])]
+
+
+def entries_of(r: Run, status: np.ndarray) -> Entries:
+    s = r.spec
+    pad, dtype = (np.uint8(0xFF), np.uint8) if s.unit == "byte" else (np.uint64(0), np.uint64)
+    parts = []
+    for number, c in enumerate(r.chunks()):
+        units, prefix, *_ = r.units(c)
+        i, j = r.first[number], r.first[number + 1]
+        at = i + np.flatnonzero(status[i:j] == SHARED)
+        if len(at):
+            parts.append((np.full(len(at), number), r.pos[at], r.most[at], s.length - r.least[at], r.row[at], r.doc[at], r.at[at], spread(r.fp[at]), *units_around(units, r.pos[at], r.most[at], s.length - r.least[at], s.width - 1, s.length, pad)))
+        at = i + np.flatnonzero(status[i:j] == HOT)
+        if len(at):  # each window by itself
+            n = r.most[at] - r.least[at] + 1
+            of = np.repeat(at, n)
+            k = r.most[of] - (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+            start, zero, full = r.pos[of] - k, np.zeros(len(of), np.int64), np.full(len(of), s.length)
+            parts.append((np.full(len(of), number), start, zero, full, r.row[of], r.doc[of], r.at[of] - k, spread(K.range_hash(prefix, start, start + s.length)), *units_around(units, start, zero, full, s.width - 1, s.length, pad)))
+    if not parts:
+        z = np.zeros(0, np.int64)
+        return Entries(z, np.zeros((0, s.length), dtype), np.zeros((0, s.width - 1), dtype), z, z, z, z, z, z, z, z, z, z)
+    chunk, pos, left, right, row, doc, at, key, after, before = (np.concatenate(x) for x in zip(*parts, strict=True))
+    bucket = bucket_of(key, s.buckets)
+    digits, back = as_digits(after), as_digits(before) if s.width > 1 else []
+    columns = [bucket, *digits, *back, left, right, doc, at]
+    order = sort_rows(columns)
+    new = np.zeros(len(order), dtype=bool)
+    new[0] = True
+    for x in columns[:-2]:
+        y = x[order]
+        new[1:] |= y[1:] != y[:-1]
+    first = order[new]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return Entries(bucket[first], after[first], before[first], left[first], right[first], doc[first], at[first], of, chunk, pos, row, doc, at)
+
+
+def match_send(spec: Spec, run: int, docs: pa.Table, flags: pa.Table, encode: Callable[[Spec, Entries, int, int], bytes]) -> pa.Table:
+    r = Run(spec, docs)
+    e = entries_of(r, _status(r, answers_of(flags)[0]))
+    cut = np.searchsorted(e.bucket, np.arange(spec.buckets + 1))
+    return blob_rows(run, [(b, encode(spec, e, i, j)) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
 
 
-def result_rows(spec: Spec, docs: pa.Table, flags: pa.Table) -> pa.Table:
-    """One row per document: units, removed units, factors, and the text that is left."""
+def resolved(spec: Spec, docs: pa.Table, flags: pa.Table) -> tuple[Run, Entries, list[list[np.ndarray]]]:
+    """The run, its entries and the answers to them in their order."""
     r = Run(spec, docs)
-    answers = _answers(flags)
-    res = Resolved(r, answers)
-    own_h, own_d, entry, per_chunk = _window_entries(res)
-    for _, (delta, best) in sorted(answers["windows"].items()):
-        own_d[np.searchsorted(own_h, np.cumsum(delta, dtype=np.uint64))] = best
-    out, done = [], 0
-    for c, at, doc, covered, who, n in per_chunk:
-        best = own_d[entry[done : done + len(at)]]
-        done += len(at)
-        hit = best < doc
-        starts, owners = np.concatenate([covered, at[hit]]), np.concatenate([who, best[hit]])
-        order = np.argsort(starts, kind="stable")
-        out.append(_chunk_rows(spec, r, c, starts[order], owners[order], n))
-    return pa.concat_tables(out) if out else RESULT.empty_table()
-
-
-RESULT = pa.schema([("id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("factors", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_id", pa.int64())]))), ("kept", pa.binary())])
-RESULT_DDL = "id long, n_units long, n_removed long, n_spans long, factors array<struct<start: long, length: long, ref_id: long>>, kept binary"
-
-
-def _chunk_rows(spec: Spec, r: Run, c: K.Chunk, hit: np.ndarray, owner: np.ndarray, n: int) -> pa.Table:
-    """``hit``: the starts of repeated windows in order, with the document that owns each."""
-    word = K.words(c) if spec.unit == "word" else None
-    starts, ends = (word.first[:-1], word.first[1:]) if word else (c.starts, c.ends)
-    rows = len(c)
-    gone = K.set_bits(n, hit, np.minimum(hit + spec.length, n)) if len(hit) else np.zeros(n, bool)
+    sift, match = answers_of(flags)
+    return r, entries_of(r, _status(r, sift)), [x for _, x in sorted(match.items())]
+
+
+# --- result ------------------------------------------------------------------------
+
+
+def kept_text(spec: Spec, c: K.Chunk, word: K.Words | None, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> dict[str, pa.Array]:
+    """n_units, n_removed, n_spans and kept of a chunk's documents; ``gone`` marks the removed units."""
+    rows, n = len(c), len(gone)
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[ends] - total[starts]
     opening = gone.copy()
@@ -458,13 +359,6 @@ def _chunk_rows(spec: Spec, r: Run, c: K.Chunk, hit: np.ndarray, owner: np.ndarr
         head = starts[(starts < n) & (starts < ends)]
         opening[head] |= gone[head]
     opened = np.concatenate([[0], np.cumsum(opening)])
-    # factors: consecutive windows with one owner in one document
-    doc = _owners(hit, starts)
-    cut = np.ones(len(hit), dtype=bool)
-    cut[1:] = (np.diff(hit) != 1) | (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
-    f = np.flatnonzero(cut)
-    last = (np.append(f[1:], len(hit)) - 1)[: len(f)]
-    factor = pa.StructArray.from_arrays([pa.array(hit[f] - starts[doc[f]]), pa.array(hit[last] - hit[f] + spec.length), pa.array(owner[f])], ["start", "length", "ref_id"])
     if word is None:
         kept, sizes = c.data[~gone], (ends - starts) - removed
     else:  # kept words joined by one space
@@ -483,9 +377,18 @@ def _chunk_rows(spec: Spec, r: Run, c: K.Chunk, hit: np.ndarray, owner: np.ndarr
         sizes = np.bincount(d, weights=size, minlength=rows).astype(np.int64)
         sizes -= np.bincount(d, minlength=rows) > 0
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    binary = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(kept.tobytes())])
-    ids = r.ids[c.first : c.first + rows]
-    return pa.table([pa.array(ids, mask=ids == NO_DOC), pa.array(ends - starts), pa.array(removed), pa.array(opened[ends] - opened[starts]), _list(None, np.bincount(doc[f], minlength=rows), factor), binary], schema=RESULT)
+    binary = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(kept).tobytes())])
+    return {"n_units": pa.array(ends - starts), "n_removed": pa.array(removed), "n_spans": pa.array(opened[ends] - opened[starts]), "kept": binary}
+
+
+def lists(counts: np.ndarray, fields: dict[str, np.ndarray]) -> pa.Array:
+    values = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def id_column(r: Run, c: K.Chunk) -> dict[str, pa.Array]:
+    ids = r.ids[c.first : c.first + len(c)]
+    return {"id": pa.array(ids, mask=ids == NO_DOC), "copies": pa.array(r.copies[c.first : c.first + len(c)], pa.int64())}
 
 
 # --- Spark -------------------------------------------------------------------------
@@ -500,31 +403,44 @@ def plan_bytes(df: DataFrame, text_col: str) -> int:
     return n if n < UNKNOWN else df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
-def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, unit: str, length: int, seed: int, run_bytes: int = 4 << 20) -> DataFrame:
-    """Rows ``RESULT_DDL`` for every row of ``docs``.
+def _together(batches):
+    """Puts equal rows (id, text) of a batch together; ``h`` is a hash of both that finds them."""
+    for batch in batches:
+        h = batch.column(0).to_numpy()
+        order = np.argsort(h, kind="stable")
+        if (h[order[1:]] != h[order[:-1]]).all():
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(len(h), np.int64))], names=["h", "id", "text", "copies"])
+        else:
+            t = pa.Table.from_batches([batch]).group_by(["h", "id", "text"]).aggregate([([], "count_all")])
+            yield from t.select(["h", "id", "text", "count_all"]).rename_columns(["h", "id", "text", "copies"]).cast(pa.schema([batch.schema.field(0), batch.schema.field(1), batch.schema.field(2), ("copies", pa.int64())])).combine_chunks().to_batches()
 
-    ``run_bytes``: file bytes whose documents make one run (about three times as
-    much text); it sets how much a task holds, never what is found.
+
+def find_repeats(docs: DataFrame, *, id_col: str, text_col: str, unit: str, length: int, encode: Callable, answer: Callable, result: Callable, result_ddl: str, run_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, hot: int = 1024) -> DataFrame:
+    """One row of ``result_ddl`` for every row of ``docs``.
+
+    ``encode`` packs a bucket's share of a run's entries, ``answer`` answers a
+    bucket's blobs, ``result`` makes a run's rows.  ``run_bytes`` and
+    ``bucket_bytes``: file bytes whose documents make one run, and whose entries
+    one bucket.  Both set how much a task holds, never what is found.
     """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    runs = int(min(max(2 * cores, plan_bytes(docs, text_col) // run_bytes + 1), 200_000))
-    spec = Spec(unit, length, seed, runs)
+    if length < 1:
+        raise ValueError("a window has at least one unit")
+    least = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    size = plan_bytes(docs, text_col)
+    runs, buckets = max(least, size // run_bytes + 1), max(least, size // bucket_bytes + 1)
+    spec = Spec(unit, length, buckets, hot)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = base.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs))).repartition(runs, "run")
-
-    def grouped(fn):
-        return base.groupBy("run").applyInArrow(lambda key, t: fn(spec, key[0].as_py(), t), BLOB)
+    base = base.select(F.xxhash64("id", "text").alias("h"), "id", "text").mapInArrow(_together, "h long, id long, text string, copies long")
+    base = base.select(F.pmod("h", F.lit(runs)).alias("run"), "id", "text", "copies").repartition(runs, "run")
 
     def answered(sent: DataFrame, fn) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(lambda key, t: fn(key[0].as_py(), t), BLOB)
+        return sent.groupBy("bucket").applyInArrow(lambda key, t: fn(spec, key[0].as_py(), t), BLOB)
 
     def cogrouped(flags: DataFrame, fn, schema: str) -> DataFrame:
         return base.groupBy("run").cogroup(flags.groupBy("run")).applyInArrow(fn, schema)
 
-    if unit == "byte":
-        sifted = answered(grouped(sift_send), sift_answer)
-        flags = sifted.union(answered(cogrouped(sifted, lambda key, t, f: blocks_send(spec, key[0].as_py(), t, f), BLOB), blocks_answer))
-    else:
-        flags = answered(grouped(lambda s, run, t: blocks_send(s, run, t, None)), blocks_answer)
-    flags = flags.union(answered(cogrouped(flags, lambda key, t, f: windows_send(spec, key[0].as_py(), t, f), BLOB), windows_answer))
-    return cogrouped(flags, lambda key, t, f: result_rows(spec, t, f), RESULT_DDL)
+    sifted = answered(base.groupBy("run").applyInArrow(lambda key, t: sift_send(spec, key[0].as_py(), t), BLOB), sift_answer)
+    matched = answered(cogrouped(sifted, lambda key, t, f: match_send(spec, key[0].as_py(), t, f, encode), BLOB), answer)
+    out = cogrouped(sifted.union(matched), lambda key, t, f: result(spec, t, f), result_ddl + ", copies long")
+    columns = [c for c in out.columns if c != "copies"]
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)

@@ -3,6 +3,7 @@ import random
 import pytest
 
 WORDS = [f"w{i}" for i in range(400)] + ["Été", "ünï", "das", "the", "日本語"]
+SWAP = str.maketrans("ab", "ba")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, node long, h string, size double, run int, key string, bucket int, part int, text_crc32 long, shard string, mix_key int, _place long, component long"
 
 
@@ -20,6 +21,10 @@ def nasty_rows():
         texts.append(" ".join(words))
     texts += ["", " ", "\n\n", "one", "one two", "ONE Two", "a" * 400, "a" * 300 + "b" + "a" * 300, "ab " * 200, "123 456 ###", "日本語 " * 60, sentence(3000), "-" * 49, "-" * 50, "-" * 50, None, None]
     texts += [sentence(rng.randrange(1, 60)) for _ in range(20)]
+    morse = "a"
+    while len(morse) < 2048:  # a Thue-Morse word and its complement collide in polynomials modulo 2**64
+        morse += morse.translate(SWAP)
+    texts += [morse, morse.translate(SWAP), f"{morse}\n{morse.translate(SWAP)}\n{morse}", " ".join(morse), " ".join(morse.translate(SWAP))]
     rows = []
     for i, t in enumerate(texts):
         rows.append((i * 3 + 1, t, ["en", "fr", None][i % 3], ["src0", "src0", "a", None, "B"][i % 5], None if i % 7 == 0 else i, *[None] * 14))

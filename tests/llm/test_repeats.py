@@ -1,13 +1,19 @@
 """op4 and op9 against brute force."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from planforge.llm import repeats as R
+from planforge.llm import suffix_dedup as suffixes
+from planforge.llm.merging import merge, run_lcp
 from planforge.llm.queries import QUERIES
-from planforge.llm.substring_dedup import substring_dedup
+from planforge.llm.substring_dedup import previous_smaller, substring_dedup
 from planforge.llm.suffix_dedup import suffix_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -74,18 +80,102 @@ def test_empty_table(empty):
     assert suffix_dedup(empty).count() == substring_dedup(empty).count() == 0
 
 
-def test_front_coding_and_merging():
-    import numpy as np
-
+@pytest.mark.parametrize("length", [1, 7, 20, 88, 200])
+@pytest.mark.parametrize(("unit", "op"), [("byte", suffix_dedup), ("word", substring_dedup)])
+def test_other_lengths_and_hot_anchors(nasty, nasty_texts, unit, op, length):
+    want = sorted(((i, n, r, s, kept_bytes(k, unit)) for i, n, r, s, k in brute(unit_rows(nasty_texts, unit), length)), key=repr)
+    for hot in (1024, 2):  # 2: anchors with three surroundings are taken apart
+        got = sorted(((x.doc_id, x.n_units, x.n_removed, x.n_spans, bytes(x.kept)) for x in op(nasty, length=length, hot=hot).collect()), key=repr)
+        assert got == want
+
+
+@pytest.mark.parametrize("op", [suffix_dedup, substring_dedup])
+def test_null_ids_and_equal_rows(spark, nasty, nasty_texts, op):
+    """Documents without ids remove nothing from each other; equal rows stay as many."""
+    bare = nasty.withColumn("doc_id", F.lit(None).cast("long"))
+    rows = op(bare).collect()
+    assert len(rows) == len(nasty_texts) and not any(x.n_removed for x in rows)
+    many = spark.createDataFrame([(2, "same words " * 40)] * 500 + [(1, "same words " * 40)] + [(None, None)] * 300, "doc_id long, text string")
+    rows = op(many).collect()
+    assert len(rows) == 801 and sum(x.n_removed > 0 for x in rows) == 500
+
+
+def test_spans_are_what_is_removed(nasty):
+    texts = {}
+    for x in nasty.collect():
+        texts.setdefault(x.doc_id, []).append((x.text or "").encode())
+    for x in suffix_dedup(nasty).collect():
+        assert sum(s.length for s in x.spans) == x.n_removed and len(x.spans) == x.n_spans
+        cut = lambda t, x=x: b"".join(t[a:b] for a, b in zip([0, *(s.start + s.length for s in x.spans)], [*(s.start for s in x.spans), len(t)], strict=True))
+        assert any(cut(t) == bytes(x.kept) for t in texts[x.doc_id])
+
+
+def test_very_long_texts(spark):
+    """Texts beyond a chunk that share long stretches, also at their ends, and one that differs in a byte."""
+    rng = random.Random(4)
+    a = " ".join(f"v{rng.randrange(5000)}" for _ in range(90_000))
+    b = " ".join(f"u{rng.randrange(5000)}" for _ in range(60_000))
+    texts = [(1, a), (2, b + " " + a[1000:400_000]), (3, a[:200_000] + "x" + a[200_001:]), (4, b[-50:]), (5, "z" + b)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for unit, op in (("byte", suffix_dedup), ("word", substring_dedup)):
+        want = {i: (r, s, k) for i, _, r, s, k in ((i, n, r, s, kept_bytes(k, unit)) for i, n, r, s, k in brute(unit_rows(texts, unit), 50))}
+        assert {x.doc_id: (x.n_removed, x.n_spans, bytes(x.kept)) for x in op(df).collect()} == want
+
+
+def test_factors_are_greedy(spark):
+    """A passage that two references share in part has two factors, the second from the first window across the end of the first."""
+    w = [f"g{i}" for i in range(400)]
+    texts = [(1, " ".join(w[:120])), (2, " ".join(["x", *w[60:300]])), (3, " ".join(["y", "y", *w[:300], "z"])), (4, " ".join(w[100:149])), (5, " ".join(w[250:300]))]
+    got = {x.doc_id: [tuple(f) for f in x.factors] for x in substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    (a, n, *first), (b, m, *second) = got.pop(3)
+    assert got == {1: [], 2: [(1, 60, 1, 60)], 4: [], 5: [(0, 50, 2, 191)]}
+    assert (a, *first) == (2, 1, 0) and n <= 120 and b == a + n - 49 and b + m == 302 and second == [2, b - 2 - 59]
+
+
+@pytest.mark.parametrize(("runs", "size", "per_tree", "streams"), [(3, 20, 8, 64), (1, 5, 4, 64), (70, 200, 16, 8), (130, 30, 8, 64), (5, 0, 4, 2)])
+def test_loser_trees_merge_with_common_prefixes(runs, size, per_tree, streams):
+    rng = np.random.default_rng(runs)
+    parts = []
+    for _ in range(runs):
+        m = rng.integers(97, 99, (rng.integers(0, size + 1), 24)).astype(np.uint8)
+        m[:, :9] = 97
+        parts.append(m[np.argsort(np.ascontiguousarray(m).view("S24").ravel())].view(">u8").astype(np.uint64).reshape(-1, 3))
+    rows, lcp = np.concatenate(parts), np.concatenate([run_lcp(p) for p in parts])
+    order, common = merge(rows, lcp, [len(p) for p in parts], per_tree=per_tree, streams=streams)
+    got = [tuple(x) for x in rows[order].tolist()]
+    assert got == sorted(got) and sorted(order) == list(range(len(rows))) and (common == run_lcp(rows[order])).all()
+
+
+def test_suffixes_are_front_coded():
+    rng = np.random.default_rng(1)
+    spec = R.Spec("byte", 20, 1)
+    blobs, want = [], []
+    for n in (50, 1, 9):
+        right, left = rng.integers(spec.seed, 21, n), rng.integers(0, spec.width, n)
+        after, before = rng.integers(97, 99, (n, 20)).astype(np.uint8), rng.integers(97, 99, (n, spec.width - 1)).astype(np.uint8)
+        after[np.arange(20) >= right[:, None]] = 255
+        before[np.arange(spec.width - 1) >= left[:, None]] = 255
+        order = R.sort_rows(R.as_digits(after))
+        z = np.zeros(n, np.int64)
+        e = R.Entries(z, after[order], before[order], left[order], right[order], z, z, z, z, z, z, z, z)
+        blobs.append(suffixes.encode(spec, e, 0, n))
+        want.append((after[order], before[order]))
+    (lcp, *_, after, before), sizes = suffixes.decode(spec, blobs)
+    assert sizes == [50, 1, 9] and (after == np.concatenate([a for a, _ in want])).all() and (before == np.concatenate([b for _, b in want])).all() and lcp.max() > 2
+
+
+def test_buckets_are_even():
+    """Anchors are minima of hashes; the buckets they go to are even all the same."""
+    text = " ".join(f"t{x}" for x in np.random.default_rng(3).integers(0, 30_000, 60_000))
+    docs = pa.table({"id": pa.array([1], pa.int64()), "text": pa.array([text]), "copies": pa.array([1], pa.int64())})
+    for unit, buckets in (("byte", 121), ("word", 12)):
+        r = R.Run(R.Spec(unit, 50, buckets), docs)
+        assert np.bincount(R.bucket_of(R.spread(r.fp), buckets), minlength=buckets).max() < 3 * len(r.fp) / buckets
+
+
+def test_previous_smaller():
     rng = np.random.default_rng(0)
-    runs = []
-    for n in (50, 1, 7):
-        d = np.unique(rng.integers(0, 4, (n, 3), dtype=np.uint64), axis=0)
-        cols = [np.ascontiguousarray(d[:, i]) for i in range(3)]
-        back = R.front_decode(R.unpack(R.pack(*R.front_code(cols))))
-        assert all((a == b).all() for a, b in zip(cols, back, strict=True))
-        runs.append(cols)
-    order, group = R.merge_runs(runs)
-    flat = np.concatenate([np.stack(r, axis=1) for r in runs])[order]
-    assert flat.tolist() == sorted(flat.tolist()) and len(set(group)) == len({tuple(x) for x in flat.tolist()})
-    assert all(len({tuple(x) for x in flat[group == g].tolist()}) == 1 for g in set(group))
+    for value in (rng.integers(0, 9, 60), np.arange(60)[::-1], np.arange(60), np.zeros(60, int)):
+        group = np.sort(rng.integers(0, 5, 60))
+        want = [next((j for j in range(i - 1, -1, -1) if group[j] == group[i] and value[j] < value[i]), -1) for i in range(60)]
+        assert previous_smaller(value, group).tolist() == want
