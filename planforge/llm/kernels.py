@@ -215,35 +215,41 @@ def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return out
 
 
-_LOW = np.uint64(63)
+_LOW, _HALF = np.uint64(63), np.uint64(32)
 _PLACES = np.arange(1 << 19, dtype=np.uint64) & _LOW
 
 
 def minimizers(h: np.ndarray, window_ok: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, first window, end of windows): the least hash of each valid window of ``width`` values.
-
-    ``window_ok[j]`` says whether window ``[j, j+width)`` counts; width is 64 at
-    most.  The low bits of the compared keys hold the place, so that the minimum
-    tells its position; consecutive windows share it, and each position is
-    listed once.  Equal windows have minima of equal hashes.
+    """(position, first window, end of windows): the leftmost least hash of each valid window of ``width`` values.
+
+    ``window_ok[j]`` says whether window ``[j, j+width)`` counts; width is 32 at
+    most.  The low bits of the compared keys hold the place modulo 64, so that
+    the minimum tells its position.  Places are numbered twice, 32 apart: a
+    window wraps in one numbering at most, and the other one gives the leftmost.
+    So equal windows have minima at equal places, and consecutive windows share
+    theirs: each position is listed once.
     """
     n = len(h)
-    if not 0 < width <= 64:
-        raise ValueError("a window has 1 to 64 values")
+    if not 0 < width <= 32:
+        raise ValueError("a window has 1 to 32 values")
     if n < width:
         return (np.zeros(0, np.int64),) * 3
-    key = h & ~_LOW
-    key |= _PLACES[:n] if n <= len(_PLACES) else np.arange(n, dtype=np.uint64) & _LOW
-    least = sliding(key, width, np.minimum)
+    place = _PLACES[:n] if n <= len(_PLACES) else np.arange(n, dtype=np.uint64) & _LOW
+    high = h & ~_LOW
+    least = sliding(high | place, width, np.minimum)
+    shifted = sliding(high | (place ^ _HALF), width, np.minimum) ^ _HALF
+    wraps = place[: len(least)] > np.uint64(64 - width)
+    least[wraps] = shifted[wraps]
     ok = window_ok[: len(least)]
+    at = np.arange(len(least)) + (((least & _LOW).astype(np.int64) - np.arange(len(least))) & 63)
     cut = np.ones(len(least), dtype=bool)
-    np.not_equal(least[1:], least[:-1], out=cut[1:])
+    np.not_equal(at[1:], at[:-1], out=cut[1:])
     cut[1:] |= ok[1:] != ok[:-1]
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(least))
     keep = ok[start]
     start, end = start[keep], end[keep]
-    return start + (((least[start] & _LOW).astype(np.int64) - start) & 63), start, end
+    return at[start], start, end
 
 
 def set_bits(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

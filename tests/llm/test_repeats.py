@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from planforge.llm import kernels as K
 from planforge.llm import repeats as R
 from planforge.llm import suffix_dedup as suffixes
 from planforge.llm.merging import merge, run_lcp
@@ -179,3 +180,31 @@ def test_previous_smaller():
         group = np.sort(rng.integers(0, 5, 60))
         want = [next((j for j in range(i - 1, -1, -1) if group[j] == group[i] and value[j] < value[i]), -1) for i in range(60)]
         assert previous_smaller(value, group).tolist() == want
+
+
+def test_anchors_do_not_depend_on_place():
+    """The leftmost least value of every window, wherever the sequence lies, with many ties."""
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(40)
+    for width in (1, 2, 25, 32):
+        for shift in (0, 1, 31, 40, 63, 77):
+            seq = np.concatenate([np.full(shift, 5, np.uint64), h])
+            at, start, end = K.minimizers(seq, np.arange(len(seq)) >= shift, width)
+            assert start[0] == shift and (start[1:] == end[:-1]).all() and end[-1] == len(seq) - width + 1 and (np.diff(at) > 0).all()
+            assert all(p == j + int(seq[j : j + width].argmin()) for p, a, b in zip(at, start, end, strict=True) for j in range(a, b))
+
+
+@pytest.mark.parametrize(("unit", "op"), [("byte", suffix_dedup), ("word", substring_dedup)])
+def test_periodic_texts(spark, unit, op):
+    """Periods shorter than an anchor, at every alignment, beside other words, in several partitions."""
+    rng = random.Random(9)
+    texts = []
+    for period in (1, 2, 3, 7, 12, 24, 25, 26, 40):
+        base = [f"{rng.choice('abcde')}{rng.randrange(9)}" for _ in range(period)]
+        for _ in range(6):
+            k = rng.randrange(period)
+            texts.append((len(texts), " ".join(["s" * rng.randrange(1, 70), *((base[k:] + base[:k]) * 80)[: rng.randrange(45, 140)], "t" * rng.randrange(1, 70)])))
+    rng.shuffle(texts)
+    want = sorted((i, n, r, s, kept_bytes(k, unit)) for i, n, r, s, k in brute(unit_rows(texts, unit), 50))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert sorted((x.doc_id, x.n_units, x.n_removed, x.n_spans, bytes(x.kept)) for x in op(df).collect()) == want
