@@ -18,6 +18,7 @@ from .components import components
 from .repeats import pack, unpack
 from .storage import materialize
 
+BLOCK_BYTES = 16 << 20  # of texts in a block
 SIGNATURE_MARGIN = 5.5  # standard deviations below the threshold at which a signature still goes to the exact check
 BUCKET_ROWS = 1 << 20  # band entries per bucket of the exchange, about
 
@@ -122,22 +123,27 @@ def _answer(buckets: int):
     return run
 
 
-FILTER_BITS = 1 << 24
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27  # of the bitmap: at most 2,097,152 words of 16 bytes are sent to each executor
 
 
-def prefilter(df: DataFrame, needed: DataFrame, key: str = "node") -> DataFrame:
+def prefilter(df: DataFrame, needed: DataFrame, count: int, key: str = "node") -> DataFrame:
     """Drops most rows of ``df`` whose key is not needed, before a join shuffles the rest.
 
-    The keys' hashes set bits of a bitmap of ``FILTER_BITS`` bits, that is at
-    most 262,144 words however many keys there are, and the words are sent to
-    all executors.  A set bit proves nothing, so the join must follow.
+    The keys' hashes set bits of a bitmap with eight bits for each of the
+    ``count`` keys, whose words are sent to all executors.  A set bit proves
+    nothing, so the join must follow.  With more keys than ``MOST_BITS`` has
+    room for the bitmap would keep nearly all rows, and none is made.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits_wanted = max(LEAST_BITS, 1 << (8 * count).bit_length())
+    if bits_wanted > 4 * MOST_BITS:
+        return df
+    size = min(bits_wanted, MOST_BITS)
+    place = F.pmod(F.xxhash64(key), F.lit(size))
     bits = needed.select(place.alias("p")).groupBy(F.expr("p div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_mask"))
     words = materialize(bits, "filter-words")
     hit = F.call_function("getbit", F.col("_mask"), F.expr("cast(_place % 64 as int)")) == 1
     placed = df.withColumn("_place", place).withColumn("_word", F.expr("_place div 64"))
-    return placed.join(F.broadcast(words), "_word").where(hit).select(*df.columns)  # FILTER_BITS / 64 rows at most
+    return placed.join(F.broadcast(words), "_word").where(hit).select(*df.columns)  # MOST_BITS / 64 rows at most
 
 
 PACKED_DDL = "bucket long, blob binary"
@@ -170,13 +176,14 @@ def _bits(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(keys: list[np.ndarray], side: np.ndarray, sig: np.ndarray | None, percent: int, least: float) -> list[tuple[int, int]]:
+def _links(keys: list[np.ndarray], side: np.ndarray, label: np.ndarray, sig: np.ndarray | None, percent: int, least: float) -> list[tuple[int, int]]:
     """Enough links to connect what is linked: pairs of sets on two sides, or of all sets on one.
 
-    A set is compared only with those that are not connected to it yet: first
-    the sizes, then the signatures, then the exact intersections.
+    A set is compared only with those that are not connected to it yet (equal
+    ``label``): first the sizes, then the signatures, then the exact intersections.
     """
-    bits, size, label, out = _bits(keys), np.array([len(k) for k in keys]), np.arange(len(keys)), []
+    bits, size, out = _bits(keys), np.array([len(k) for k in keys]), []
+    label = np.unique(label, return_inverse=True)[1]
     crossing = side.any()
     for i in np.flatnonzero(side == 0) if crossing else range(len(keys)):
         other = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
@@ -197,23 +204,38 @@ def _links(keys: list[np.ndarray], side: np.ndarray, sig: np.ndarray | None, per
     return out
 
 
-def _compare(sets: Callable, percent: int, minima: int):
-    """One task's homes: rows (home, side, node, text[, sig]) to links (a, b)."""
+LINKS = "a long, b long"
+
+
+def _signature_floor(percent: int, minima: int) -> float:
     similarity = percent / 100
-    least = similarity - SIGNATURE_MARGIN * np.sqrt(similarity * (1 - similarity) / minima) if minima else 0.0
+    return similarity - SIGNATURE_MARGIN * np.sqrt(similarity * (1 - similarity) / minima) if minima else 0.0
+
+
+def _sets_of(table: pa.Table, sets: Callable) -> list[np.ndarray]:
+    keys: list[np.ndarray] = []
+    for c in K.chunks(table.column("text"), 1 << 20):
+        h, _, first = sets(c)
+        keys += np.split(h, first[1:-1])
+    return keys
+
+
+def _signatures_of(table: pa.Table, minima: int) -> np.ndarray | None:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(table), -1) if minima else None
+
+
+def _compare(sets: Callable, percent: int, minima: int):
+    """One task's homes: rows (home, side, node, label, text[, sig]) to links (a, b)."""
+    least = _signature_floor(percent, minima)
 
     def run(key, table):
         table = table.sort_by([("home", "ascending"), ("node", "ascending")])
-        home, side, node = (table.column(c).to_numpy() for c in ("home", "side", "node"))
-        keys: list[np.ndarray] = []
-        for c in K.chunks(table.column("text"), 1 << 20):
-            h, _, first = sets(c)
-            keys += np.split(h & ~np.uint64(0xFFFF), first[1:-1])
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1) if minima else None
+        home, side, node, label = (table.column(c).to_numpy() for c in ("home", "side", "node", "label"))
+        keys, sig = _sets_of(table, sets), _signatures_of(table, minima)
         cut = np.flatnonzero(np.diff(home, prepend=home[0] - 1, append=home[-1] + 1))
         a, b = [], []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
-            for x, y in _links(keys[i:j], side[i:j], None if sig is None else sig[i:j], percent, least):
+            for x, y in _links(keys[i:j], side[i:j], label[i:j], None if sig is None else sig[i:j], percent, least):
                 a.append(node[i + x])
                 b.append(node[i + y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -221,47 +243,123 @@ def _compare(sets: Callable, percent: int, minima: int):
     return run
 
 
-def _homes(members: DataFrame, block: int, what: str) -> tuple[DataFrame, int]:
-    """((node, home, blocks), packs): candidates connected through their leaders."""
+def _follow(sets: Callable, percent: int, minima: int):
+    """One part of a leader's followers: rows (leader, node, text[, sig]), the leader among them, to links (a, b)."""
+    least = _signature_floor(percent, minima)
+
+    def run(key, table):
+        leader, node = table.column("leader")[0].as_py(), table.column("node").to_numpy()
+        keys, sig = _sets_of(table, sets), _signatures_of(table, minima)
+        me = int(np.flatnonzero(node == leader)[0])
+        mine, size = np.sort(keys[me]), np.array([len(k) for k in keys])
+        near = (100 * np.minimum(size, size[me]) >= percent * np.maximum(size, size[me])) & (node != leader)
+        if sig is not None:
+            near &= (sig == sig[me]).mean(axis=1) >= least
+        got = []
+        for j in np.flatnonzero(near):
+            shared = int((mine[np.minimum(np.searchsorted(mine, keys[j]), len(mine) - 1)] == keys[j]).sum())
+            if 100 * shared >= percent * (size[me] + size[j] - shared):
+                got.append(int(node[j]))
+        return pa.table({"a": pa.array(got, pa.int64()), "b": pa.array([leader] * len(got), pa.int64())})
+
+    return run
+
+
+def _homes(members: DataFrame, what: str) -> DataFrame:
+    """(node, home): candidates connected through their leaders."""
     led = materialize(members.where("node != leader").select("leader", "node").distinct(), f"{what}-led")
-    homes = materialize(components(led), f"{what}-homes")
-    sizes = materialize(homes.groupBy("component").agg(F.count(F.lit(1)).alias("n")), f"{what}-sizes")
-    placed = homes.join(sizes, "component").select("node", F.col("component").alias("home"), F.expr(f"(n + {block - 1}) div {block}").cast("int").alias("blocks"))
-    return materialize(placed, f"{what}-placed"), homes.count() // block + 1
+    return materialize(components(led).withColumnRenamed("component", "home"), f"{what}-homes")
+
+
+def _sized(known: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """(home, blocks) of rows (node, home, text), and into how many tasks single blocks are packed."""
+    sizes = known.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sizes = materialize(sizes.select("home", F.expr(f"cast(greatest((n + {block - 1}) div {block}, (bytes + {BLOCK_BYTES - 1}) div {BLOCK_BYTES}) as int)").alias("blocks"), "n", "bytes"), "home-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return sizes.select("home", "blocks"), max(total.n // block, total.bytes // BLOCK_BYTES) + 1
+
 
+def _leader_links(members: DataFrame, large: DataFrame, sets: Callable, percent: int, minima: int, block: int, what: str) -> DataFrame:
+    """Links of nodes with one leader each: the one that they share most bands with.
 
-def linked_classes(members: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Callable, *, percent: int, block: int, what: str, nodes: DataFrame | None = None, minima: int = 0) -> DataFrame:
+    A leader's followers are dealt to parts of about ``block`` nodes, and the
+    leader goes to each part: rows grow with the nodes, however large a group is.
+    """
+    mine = members.where("node != leader").groupBy("node", "leader").agg(F.count_distinct("h").alias("shared"))
+    mine = mine.groupBy("node").agg(F.min(F.struct((-F.col("shared")).alias("less"), "leader")).alias("m")).select("node", "m.leader")
+    mine = materialize(mine.join(large.select("node"), "node", "left_semi"), f"{what}-leaders")
+    parts = materialize(mine.groupBy("leader").agg(((F.count(F.lit(1)) + block - 1) / block).cast("int").alias("parts")), f"{what}-parts")
+    columns = [c for c in large.columns if c not in ("node", "home")]
+    followers = large.join(mine, "node").join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", *columns)
+    leaders = large.join(parts.withColumnRenamed("leader", "node"), "node").select(F.col("node").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", *columns)
+    return materialize(followers.unionByName(leaders).groupBy("leader", "part").applyInArrow(_follow(sets, percent, minima), LINKS), f"{what}-leader-links")
+
+
+def dealt_rows(known: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Rows (node, home, label, ...) dealt to tasks: (task, home, side, node, label, ...).
+
+    Nodes of a home that have the home's largest label are connected already and
+    are only compared with the others.  A home is dealt to blocks by a hash of the node: each pair
+    of blocks is a task, but for the pairs within the largest label.  Homes of one block
+    are packed.
+    """
+    blocks, packs = _sized(known, block)
+    counts = known.groupBy("home", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("home").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n")).select("home", F.col("m.label").alias("main"), F.col("m.n").alias("n_main"), F.col("n"))
+    # a home with one label is done
+    shape = materialize(main.where("n_main < n").join(blocks, "home").select("home", "blocks", "main", F.expr("cast(ceil(blocks * (n_main / n)) as int)").alias("main_blocks"), F.expr("cast(ceil(blocks * ((n - n_main) / n)) as int)").alias("rest_blocks")), "home-shapes")
+    known = known.join(shape, "home")
+    single = known.where("blocks = 1").select(F.pmod(F.xxhash64("home"), F.lit(packs)).alias("task"), "home", F.lit(0).alias("side"), "node", "label", *[c for c in known.columns if c in ("text", "sig")])
+    large = known.where("blocks > 1").withColumn("rest", F.col("label") != F.col("main"))
+    # blocks of the rest come first, 0 .. rest_blocks - 1, then those of the largest label; a pair (lo, hi) has lo among the rest
+    mine = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), F.col("rest_blocks"))).otherwise(F.col("rest_blocks") + F.pmod(F.xxhash64("node"), F.col("main_blocks"))).cast("int")
+    most = F.when(F.col("rest"), F.col("rest_blocks") + F.col("main_blocks")).otherwise(F.col("rest_blocks"))
+    large = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), most - 1)))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    large = large.select(F.xxhash64("home", lo, hi).alias("task"), "home", (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "label", *[c for c in known.columns if c in ("text", "sig")])
+    return single.unionByName(large), packs
+
+
+def linked_classes(members: DataFrame, texts: Callable[[DataFrame, int], DataFrame], sets: Callable, *, percent: int, block: int, what: str, nodes: DataFrame | None = None, minima: int = 0) -> DataFrame:
     """(node, component) of the nodes linked to another at ``percent`` similarity.
 
-    ``members``: see :func:`band_members`.  ``texts``: from a table of nodes to
-    their (node, text).  ``sets``: the distinct shingles of a chunk's texts.
+    ``members``: see :func:`band_members`.  ``texts``: from a table of nodes and
+    their count to their (node, text).  ``sets``: the distinct shingles of a chunk's texts.
     ``nodes`` (node, sig), one row per node: if given, signatures of ``minima``
     values are compared before sets are.
 
-    Nodes connected by shared bands are of one *home*.  A home of more than
-    ``block`` nodes is taken apart once more by finer bands of its texts, which
-    weakly similar texts seldom share.  Homes of up to
-    ``block`` nodes are packed into tasks; a larger home is dealt to blocks by
-    a hash of the node, and each pair of its blocks is a task.  So a task holds
-    a bounded number of texts, each pair that shares a band is compared in one
-    task (unless it is connected already), and only connecting links leave it.
+    Nodes connected by shared bands are of one *home*.  Homes of up to ``block``
+    nodes are compared within a task.  In a larger one every node is first
+    compared with the leader of most of its bands, which connects groups of near
+    copies in as many comparisons as they have nodes.  What is not connected
+    then is taken apart by finer bands, which weakly similar texts seldom share,
+    and compared with the rest of its home in pairs of blocks
+    (:func:`dealt_rows`).  So a task holds a bounded number of texts and of
+    bytes (beyond one text), each pair that shares a band is compared in one task
+    unless it is connected already, and only connecting links leave it.
     """
-    placed, packs = _homes(members, block, what)
-    known = texts(placed.select("node")).join(placed, "node")
+    members = materialize(members, f"{what}-members")
+    homes = _homes(members, what)
+    known = texts(homes.select("node"), homes.count()).join(homes, "node")
     if nodes is not None:
         known = known.join(nodes, "node")
     known = materialize(known, f"{what}-texts")
-    large = known.where("blocks > 1")
-    buckets = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fine = band_members(large.select("node", "text").mapInArrow(_send_fine(sets, buckets), PACKED_DDL), buckets)
-    again, _ = _homes(fine, block, f"{what}-fine")
-    known = known.where("blocks = 1").unionByName(large.drop("home", "blocks").join(again, "node"))
-    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = known.withColumn("mine", mine).withColumn("other", other)
-    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("home"), F.lit(packs))).otherwise(F.xxhash64("home", lo, hi))
-    dealt = dealt.select(task.alias("task"), "home", (F.col("mine") > F.col("other")).cast("int").alias("side_hi"), (F.col("mine") != F.col("other")).alias("two"), "node", "text", *(["sig"] if nodes is not None else []))
-    side = F.when(F.col("two") & (F.col("side_hi") == 1), 1).otherwise(0)
-    dealt = dealt.withColumn("side", side.cast("int")).drop("side_hi", "two")
-    links = materialize(dealt.groupBy("task").applyInArrow(_compare(sets, percent, minima), "a long, b long"), f"{what}-links")
-    return materialize(components(links), f"{what}-classes")
+    sizes, _ = _sized(known, block)
+    known = known.join(sizes, "home")
+    large = known.where("blocks > 1").drop("blocks")
+    small = known.where("blocks = 1").drop("blocks").withColumn("label", F.col("node"))
+    links = []
+    if not large.isEmpty():
+        links.append(_leader_links(members, large, sets, percent, minima, block, what))
+        near = materialize(components(links[0]), f"{what}-near")
+        large = large.join(near, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        one = large.groupBy("home").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("home")
+        large = materialize(large.join(materialize(one, f"{what}-open"), "home", "left_semi"), f"{what}-large")
+        buckets = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        fine = band_members(large.select("node", "text").mapInArrow(_send_fine(sets, buckets), PACKED_DDL), buckets)
+        small = small.unionByName(large.drop("home").join(_homes(fine, f"{what}-fine"), "node"))
+        small = materialize(small, f"{what}-known")
+    dealt, _ = dealt_rows(small, block)
+    links.append(materialize(dealt.groupBy("task").applyInArrow(_compare(sets, percent, minima), LINKS), f"{what}-links"))
+    every = links[0] if len(links) == 1 else links[0].union(links[1])
+    return materialize(components(every), f"{what}-classes")

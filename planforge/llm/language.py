@@ -25,6 +25,7 @@ FAMILIES = {
 DIMENSIONS = 2048
 PER_LANGUAGE = 1000  # rows per language that the model is fitted on, if there are few languages
 MOST_ROWS = 20000  # rows of all languages together; each language has one at least
+PROFILED = 512  # rows of a dense matrix of profiles
 FITTED = 64  # separating planes that are fitted at once
 UNKNOWN = "und"
 LETTER = np.isin(K.LOWER[np.arange(256)], np.arange(97, 123))
@@ -125,7 +126,7 @@ def fit_hierarchy(x: np.ndarray, langs: np.ndarray) -> Hierarchy | None:
 
 def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for c in K.chunks(batch.column(1)):
+        for c in K.chunks(batch.column(1), rows=PROFILED):
             x = profiles(c).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(c)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "profile"])
 
@@ -168,7 +169,7 @@ def predict_language(docs: DataFrame, model: Hierarchy | None, *, text_col: str
 
     def predict(batches):
         for batch in batches:
-            for c in K.chunks(batch.column(len(names))):
+            for c in K.chunks(batch.column(len(names)), rows=PROFILED):
                 lang, score = np.full(len(c), UNKNOWN, dtype=object), np.zeros(len(c))
                 ok = has_letter(c)
                 if sent.value is None:

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .banding import linked_classes, minima, prefilter, signature_members
-from .storage import materialize
+from .storage import materialize, row_key
 
 BLOCK = 256  # documents that a task compares with each other
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 shares no band with probability 5e-8
@@ -20,6 +20,17 @@ FACTORS = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2
 TERMS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
+def distinct(h: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (document, hash), sorted: (hash, document, first of each document)."""
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint32 if docs > 65535 else np.uint16), kind="stable")]
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[new], doc[new]
+    return h, doc, np.searchsorted(doc, np.arange(docs + 1))
+
+
 def shingle_sets(c: K.Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each document, in order: (hash, document, first of each document).
 
@@ -34,12 +45,7 @@ def shingle_sets(c: K.Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.nda
     at = np.flatnonzero(w.doc[:n] == w.doc[words - 1 :]) if n > 0 else np.zeros(0, np.int64)
     doc = np.concatenate([w.doc[at], short])
     h = np.concatenate([K.range_hash(prefix, at, at + words), K.range_hash(prefix, w.first[short], w.first[short + 1])])
-    bits = np.uint64(max(1, len(c).bit_length()))
-    key = np.sort((doc.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    doc = (key >> (np.uint64(64) - bits)).astype(np.int64)
-    return key << bits, doc, np.searchsorted(doc, np.arange(len(c) + 1))
+    return distinct(h, doc, len(c))
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -47,7 +53,8 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return minima(h, first, FACTORS, TERMS)
 
 
-SET_DDL = "id long, row long, n long, s1 long, s2 long, sig binary"
+ROW = "struct<k1: bigint, k2: bigint>"
+SET_DDL = f"id long, row {ROW}, n long, s1 long, s2 long, sig binary"
 
 
 def _set_batches(words: int):
@@ -64,29 +71,30 @@ def _set_batches(words: int):
     return run
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+def document_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 bits of a row's id and text."""
+    return row_key(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, row, n, s1, s2, sig) of each row, and (s1, s2, id, node, component) of each distinct set.
+    """(id, row, n, s1, s2, sig) of each row, and (s1, s2, id, row, node, component) of each distinct set.
 
-    ``node`` is the row key and ``id`` the id of the smallest (id is null, id,
-    row key) that has the set; a component is named by one of its nodes.
+    ``row`` and ``id`` are those of the smallest (id is null, id, row key) that
+    has the set; ``node`` numbers the sets, and a component is named by one of its nodes.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     sets = materialize(base.mapInArrow(_set_batches(words), SET_DDL), "minhash-sets")
     nodes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("m"), F.first("sig").alias("sig"))
-    nodes = materialize(nodes.select("s1", "s2", F.col("m.id").alias("id"), F.col("m.row").alias("node"), "sig"), "minhash-nodes")
+    nodes = materialize(nodes.select("s1", "s2", F.col("m.id").alias("id"), F.col("m.row").alias("row"), F.monotonically_increasing_id().alias("node"), "sig"), "minhash-nodes")
 
-    def texts(needed: DataFrame) -> DataFrame:
-        return prefilter(base.select(F.col("row").alias("node"), "text"), needed).join(needed, "node").dropDuplicates(["node"])
+    def texts(needed: DataFrame, count: int) -> DataFrame:
+        rows = materialize(nodes.select("row", "node").join(needed, "node"), "minhash-needed")
+        return prefilter(base.select("row", "text"), rows, count, "row").dropDuplicates(["row"]).join(rows, "row").select("node", "text")
 
     signed = nodes.select("node", "sig")
     named = linked_classes(signature_members(signed, ROWS, BANDS), texts, lambda c: shingle_sets(c, words), percent=percent, block=BLOCK, what="minhash", nodes=signed, minima=BANDS * ROWS)
-    classed = nodes.select("s1", "s2", "id", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classed = materialize(classed.select("s1", "s2", "id", "node", "component"), "minhash-classed")
-    return sets, classed
+    classed = nodes.drop("sig").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return sets, materialize(classed.select("s1", "s2", "id", "row", "node", "component"), "minhash-classed")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -94,11 +102,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     1. Equal sets are one node from here on (128-bit hash of the set).
     2. Nodes that share a band of minima are candidates; links are confirmed by
-       signature and on the full sets (:func:`planforge.llm.banding.linked_classes`).
+       signature and on the full sets of 64-bit shingle hashes
+       (:func:`planforge.llm.banding.linked_classes`).
     3. Components by alternating large-star and small-star.
 
     Returns ``id_col, n_shingles, component_id, kept, row_key``: one row per input
-    row; ``row_key`` is a hash of id and text.
+    row; ``row_key`` is a 128-bit hash of id and text.
     ``component_id`` is the smallest id reachable; ``kept`` marks that document.
     Null and empty texts are linked with nothing and kept.  Rows that share an
     id each follow their own text.  A null id is never the smallest; if no
@@ -121,8 +130,8 @@ def surplus_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     several rows (same id and text).  Rows without words are in no component.
     """
     sets, classed = _grouped(docs, id_col, text_col, words, percent)
-    chosen = classed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("m")).select(F.col("m.node").alias("row"), F.lit(True).alias("chosen"))
-    rows = sets.where("n > 0").groupBy("row").agg(F.count(F.lit(1)).alias("copies")).join(chosen, "row", "left")
+    chosen = classed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("m")).select(F.col("m.row").alias("row"), F.lit(True).alias("chosen"))
+    rows = sets.where("n > 0").groupBy("row").agg(F.count(F.lit(1)).alias("copies")).join(materialize(chosen, "minhash-chosen"), "row", "left")
     return rows.where("chosen is null or copies > 1").select(F.col("row").alias("row_key"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 

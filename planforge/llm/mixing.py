@@ -67,13 +67,15 @@ def _descend(slim: DataFrame, open_: DataFrame, level: int) -> DataFrame:
     return over.select("key", F.col("m.bucket").alias("prefix"), F.col("m.rest").alias("rest"), F.col("m.words").alias("words"))
 
 
-def _hash(id_col: str) -> Column:
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def _hash(id_col: str, text_col: str) -> Column:
+    """Of the id, or of the text where there is none."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("="), F.col(text_col)), F.lit(""))
+    h = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
     return F.shiftright(h, 60 - BITS * LEVELS)
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(id_col).alias("h"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(id_col, text_col).alias("h"))
     return materialize(slim.withColumn("key", _key("source")), "mixing-sizes")
 
 
@@ -106,8 +108,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     one row per input row, ``taken = size * copies`` and ``copies`` at most
     ``max_repeats``.
 
-    Null text has size 0; null ids hash alike; rows with the same id are taken
-    together.  An empty table gives no rows; a source without words has target
+    Null text has size 0; rows with the same id are taken together, and so are
+    rows without an id that have the same text.  An empty table gives no rows; a source without words has target
     0.  Further columns of ``docs`` are not read.
     """
     slim = _sizes(docs, id_col, text_col, source_col)
@@ -120,7 +122,7 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     plan = _plan(_sizes(docs, id_col, text_col, source_col), weights, max_repeats)
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
     plan = plan.select(F.col("key").alias("mix_key"), F.col("full").alias("mix_full"), F.col("threshold").alias("mix_threshold"))
-    keyed = docs.select(F.struct(*docs.columns).alias("d"), _key(source_col).alias("mix_key"), _hash(id_col).alias("mix_h"))
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), _key(source_col).alias("mix_key"), _hash(id_col, text_col).alias("mix_h"))
     taken = F.col("mix_full") + F.when(F.col("mix_h") < F.col("mix_threshold"), 1).otherwise(0)
     repeated = keyed.join(plan, "mix_key").withColumn("taken", taken.cast("int")).where("taken > 0")
     return repeated.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("taken")))).select(*columns)
@@ -135,7 +137,7 @@ ORACLE = r"""
 WITH slim AS (
   SELECT doc_id, coalesce('=' || source, '') AS key, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT >> 30 AS h FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '=' || text, '')), 1, 15))::BIGINT >> 30 AS h FROM documents),
 src AS (SELECT key, source, sum(size)::BIGINT AS source_size FROM slim GROUP BY 1, 2),
 w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total FROM src),
 c AS (SELECT *, coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,

@@ -4,6 +4,7 @@ import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from planforge.llm.decontaminate import decontaminate
+from planforge.llm.language import identify_language
 from planforge.llm.minhash import near_duplicates
 
 
@@ -15,7 +16,9 @@ def test_stages_take_effect(spark, data):
     told = stage["language ID"](spark, docs, data)
     texts = {r.doc_id: r.text for r in docs.collect()}
     kept = {r.doc_id for r in told.collect()}
-    assert told.columns == columns and {i for i in texts if i not in kept} == {i for i, t in texts.items() if not any(c.isalpha() for c in t)}
+    scores = {r.doc_id: (r.lang_pred, r.score) for r in identify_language(docs).collect()}
+    assert told.columns == columns and kept == {i for i, (lang, score) in scores.items() if lang != "und" and score >= P.LEAST_SCORE}
+    assert {i for i, t in texts.items() if not any(c.isalpha() for c in t)} <= texts.keys() - kept and len(kept) > 0.95 * len(texts)
     one = stage["MinHash near-dedup"](spark, told, data)
     want = {r.doc_id for r in near_duplicates(told).collect() if r.kept}
     assert one.columns == columns and {r.doc_id for r in one.collect()} == want and 0 < len(want) < before
@@ -72,3 +75,13 @@ def test_language_stage_without_languages(spark, data, nasty):
         want = Counter(tuple(r) for r in bare.collect() if any(c.isalpha() for c in r.text or ""))
         got = P.language_stage(spark, bare, data)
         assert got.columns == docs.columns and want and Counter(map(tuple, got.collect())) == want
+
+
+def test_nulls_in_other_columns_do_not_merge_rows(spark, data):
+    """Rows that differ only in which column is null stay two rows, here and in their places."""
+    rows = [(1, "same text a", "en", None, 5), (1, "same text a", None, "en", 5), (2, "b b", None, None, None), (2, "b b", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    placed = P.sharding_stage(spark, docs, data).collect()
+    assert Counter(tuple(r)[:5] for r in placed) == Counter(rows) and len({(r.shard, r.slot) for r in placed}) == 4
+    once = [tuple(r) for r in P.near_dedup_stage(spark, docs, data).collect()]
+    assert len(once) == 2 and set(once) <= set(rows)
