@@ -11,20 +11,26 @@ from pyspark.sql import functions as F
 
 from planforge.llm.decontaminate import decontaminate
 from planforge.llm.language import UNKNOWN, held_out, predict_language, train_language
-from planforge.llm.minhash import row_key, surplus_rows
+from planforge.llm.minhash import document_key, surplus_rows
 from planforge.llm.mixing import apply_mix
 from planforge.llm.sharding import shard_documents
-from planforge.llm.storage import materialize
+from planforge.llm.storage import materialize, row_key
+
+
+LEAST_SCORE = 0.3  # of a language that counts as told
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of which no language can be told: null texts and texts without a letter.
+    """Drops the documents of which no language can be told: null texts, texts
+    without a letter, and those whose predicted language has a score under ``LEAST_SCORE``.
 
-    If no document has a language to learn from, the same ones are dropped.
+    If no document has a language to learn from, there is no score, and only
+    the former are dropped.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").alias("key"), "text", "lang")
     told = predict_language(docs, train_language(rows), carry=tuple(docs.columns), without_model="")
-    return told.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    sure = (F.col("lang_pred") == "") | (F.col("score") >= LEAST_SCORE)
+    return told.where((F.col("lang_pred") != UNKNOWN) & sure).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows with the same id and text the smallest in all columns.
     """
     surplus = materialize(surplus_rows(docs).withColumnRenamed("row_key", "_row"), "pipeline-duplicates")
-    keyed = docs.withColumn("_row", row_key())
+    keyed = docs.withColumn("_row", document_key())
     kept = keyed.join(surplus.drop("chosen"), "_row", "left_anti").select(*docs.columns)
     repeated = surplus.where("chosen").select("_row")
     if repeated.isEmpty():
@@ -44,10 +50,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark passage."""
-    keyed = docs.withColumn("_row", row_key())
-    leaks = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").select("_row").distinct()
-    return keyed.join(materialize(leaks, "pipeline-leaks"), "_row", "left_anti").select(*docs.columns)
+    """Drops the documents that hold a benchmark passage.
+
+    Found texts are named by a 64-bit hash; the few rows with such a hash are
+    numbered and judged again, so that no chance collision drops a clean one.
+    """
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    leaks = materialize(decontaminate(keyed, bench, id_col="_row").select("_row").distinct(), "pipeline-leaks")
+    suspects = materialize(keyed.join(leaks, "_row", "left_semi").withColumn("_number", F.monotonically_increasing_id()), "pipeline-suspects")
+    found = materialize(decontaminate(suspects, bench, id_col="_number").select("_number"), "pipeline-found")
+    clean = suspects.join(found, "_number", "left_anti").select(*docs.columns)
+    return keyed.join(leaks, "_row", "left_anti").select(*docs.columns).union(clean)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +71,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each row's shard and slot; equal rows get a slot each."""
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    places = shard_documents(keyed, row_col="_row").select("_row", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    return keyed.dropDuplicates(["_row"]).join(places, "_row").select(*docs.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    keyed = docs.withColumn("_row", row_key(*(F.col(c) for c in docs.columns)))
+    places = shard_documents(keyed, row_col="_row").select("_row", *PLACES)
+    return keyed.dropDuplicates(["_row"]).join(places, "_row").select(*docs.columns, *PLACES)
 
 
+PLACES = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 STAGES = [
     ("language ID", language_stage),
     ("MinHash near-dedup", near_dedup_stage),
