@@ -12,6 +12,7 @@ from .storage import materialize
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+NUMBER = r"/(\d{1,15})(?:\.[a-z]+)?/?\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD_RATE, Z = 0.5, 1.0
 MAX_RULES = 500
@@ -58,7 +59,8 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     The corpus mean shrinks each suffix, the suffix its registered domains and
     the domain its hosts; each level's prior strength is estimated from the
     level's own spread.  ``bad_bound`` is the lower ``Z``-sigma bound of the
-    host's posterior.
+    host's posterior, taken as normal with the beta distribution's mean and
+    variance (SQL has no beta quantile).
     """
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-domains")
@@ -102,10 +104,13 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id"
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: labels of the document whose number ends a url's path; bad means low quality or toxic."""
+    """Outcomes: labels of the document whose number ends a url's path; bad means low quality or toxic.
+
+    The number is the whole last segment, of 15 digits at most, but for an extension or a slash after it.
+    """
     pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     host, path = url_parts(F.col("url"))
-    number = F.try_to_number(F.nullif(F.regexp_extract(path, r"/(\d{1,15})", 1), F.lit("")), F.lit("9" * 15)).cast("long")
+    number = F.try_to_number(F.nullif(F.regexp_extract(path, NUMBER, 1), F.lit("")), F.lit("9" * 15)).cast("long")
     numbered = pages.select(host.alias("host"), number.alias("doc_id"))
     outcomes = numbered.join(labels, "doc_id").select("host", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_filter(pages, outcomes).drop("bad_bound")
@@ -117,7 +122,7 @@ WITH parts AS (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 labelled AS (
   SELECT host, count(*) AS n, sum((quality = 0 OR toxic = 1)::BIGINT)::BIGINT AS bad
-  FROM parts JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '/(\d{1,15})', 1), '') AS BIGINT)
+  FROM parts JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '/(\d{1,15})(?:\.[a-z]+)?/?\z', 1), '') AS BIGINT)
   WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY host),
 hosts AS (
   SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad,

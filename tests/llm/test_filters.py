@@ -290,6 +290,12 @@ def test_url_edges(spark):
     assert U.url_filter(pages.limit(0), bad).count() == 0
 
 
+def test_numbers_that_end_a_path(spark):
+    want = {"/en/825": "825", "/en/180/": "180", "/de/712.html": "712", "/1/x": "", "/123abc": "", "/x/12-3": "", "/" + "9" * 16: "", "": "", "/a1": "", "/7\n": ""}
+    df = spark.createDataFrame(list(want.items()), "path string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", F.regexp_extract("path", U.NUMBER, 1)).collect())
+
+
 def test_kernels_split_words_like_the_pattern(nasty_texts):
     column = pa.array([t for _, t in nasty_texts])
     for size in (64, 1 << 18):
