@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from planforge.operators.ordered import ordered_scan
 
 
 def _extent(df: DataFrame, value: Column) -> DataFrame:
@@ -31,17 +32,19 @@ def epoch(column: str) -> Column:
 
 def ordinal_encode(df: DataFrame, key: str, column: str, digits: int = 6) -> DataFrame:
     """Distinct values below x over distinct values; ranks are given to distinct values and joined."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    n = values.count()
-    ranks = values.select(F.col(column).alias("_v"), ((F.row_number().over(Window.orderBy(column)) - 1) / F.lit(float(max(n, 1)))).alias("_r"))
-    return df.select(key, column).join(ranks, F.col(column) == F.col("_v"), "left").select(key, F.round("_r", digits).alias("enc"))
+    values = df.select(F.col(column).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    ranks = ordered_scan(values, [F.asc("_v")], number="_i")
+    n = ranks.agg(F.max("_i").alias("_n"))
+    share = ranks.join(F.broadcast(n)).select("_v", ((F.col("_i") - 1) / F.col("_n").cast("double")).alias("_r"))  # one row
+    return df.select(key, column).join(share, F.col(column) == F.col("_v"), "left").select(key, F.round("_r", digits).alias("enc"))
 
 
 def label_encode(df: DataFrame, column: str, digits: int = 4) -> DataFrame:
     """Values numbered by ascending count (then value), normalised with offset 1."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    i = F.row_number().over(Window.orderBy("_n", column)) - 1
-    return counts.select(column, i.alias("_i"), (F.count(F.lit(1)).over(Window.partitionBy()) - 1).alias("_m")).select(column, F.round((F.col("_i") + 1) / (F.col("_m") + 1).cast("double"), digits).alias("enc"))
+    numbered = ordered_scan(counts, [F.asc("_n"), F.asc(column)], number="_i")
+    top = numbered.agg(F.max("_i").alias("_m"))
+    return numbered.join(F.broadcast(top)).select(column, F.round(F.col("_i") / F.col("_m").cast("double"), digits).alias("enc"))  # one row
 
 
 def hash_encode(column: str, digits: int = 4) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ Context = frozenset  # of (table, column); (table, "") where columns do not matt
 
 #: Three-bit codes of the comparison operators.
 OPERATOR_BITS = {"=": (0, 0, 1), ">": (0, 1, 0), "<": (1, 0, 0), ">=": (0, 1, 1), "<=": (1, 0, 1), "<>": (1, 1, 0), "LIKE": (1, 1, 1), "ILIKE": (1, 1, 1), "IN": (0, 0, 1), "NOT LIKE": (1, 1, 0), "NOT ILIKE": (1, 1, 0)}
-MOST_LABELS = 10_000  # distinct text values that are numbered; columns with more are hashed
+MOST_LABELS = 10_000  # default of Encodings.build: distinct text values that are numbered; columns with more are hashed
 
 
 def context_of(q: QuerySpec, granularity: str = "table") -> Context:
@@ -38,7 +39,24 @@ def context_of(q: QuerySpec, granularity: str = "table") -> Context:
 
 def super_contexts(contexts: list[Context]) -> dict[Context, Context]:
     """Each context with the smallest given context that holds it (itself if none is larger)."""
-    return {c: min((d for d in contexts if c < d), key=len, default=c) for c in contexts}
+    return {c: covering(c, [d for d in contexts if c < d]) or c for c in contexts}
+
+
+def covering(c: Context, contexts: list[Context]) -> Context | None:
+    """The smallest of the contexts that holds ``c``; of equally large ones the first by name."""
+    return min((d for d in contexts if c <= d), key=lambda d: (len(d), context_key(d)), default=None)
+
+
+def merged(a: Context, b: Context) -> Context:
+    return a | b
+
+
+def without(a: Context, b: Context) -> Context:
+    return a - b
+
+
+def differing(a: Context, b: Context) -> Context:
+    return a ^ b
 
 
 def context_key(c: Context) -> str:
@@ -55,7 +73,8 @@ class Encodings:
     patterns: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, db: Database, queries: list[QuerySpec]) -> Encodings:
+    def build(cls, db: Database, queries: list[QuerySpec], *, most_labels: int = MOST_LABELS) -> Encodings:
+        """``most_labels`` bounds what the driver holds of a text column; None numbers every value."""
         out = cls()
         for q in queries:
             for p in simple_filters(q.filters):
@@ -66,7 +85,7 @@ class Encodings:
                     r = df.agg(F.min(value), F.max(value)).first()
                     out.extents[name] = (kind, r[0] or 0.0, r[1] or 0.0)
                 if kind == "text" and not isinstance(p, Like) and name not in out.labels:
-                    few = df.select(column).distinct().limit(MOST_LABELS + 1).count() <= MOST_LABELS
+                    few = most_labels is None or df.select(column).distinct().limit(most_labels + 1).count() <= most_labels
                     out.labels[name] = {r[0]: r[1] for r in S.label_encode(df.where(F.col(column).isNotNull()), column).collect()} if few else None
                 if isinstance(p, Like):
                     key = f"{name} {'ILIKE' if p.ignore_case else 'LIKE'} {p.pattern}"
@@ -119,50 +138,74 @@ def featurize(q: QuerySpec, columns: list[str], enc: Encodings) -> list[float]:
 
 
 class ContextClassifier:
-    """One classifier per context; a context with one label always answers it.
+    """One classifier per context; a context with one label, or without filters, answers its most frequent label.
 
-    Spark's boosted trees are binary, so the many hint sets of a context are
-    told apart by a random forest.
+    Boosted trees, one model per label against the rest (Spark's are binary):
+    the label with the highest probability is taken.  A query of an unseen
+    context is answered by the smallest trained context that holds it, and if
+    there is none by the most frequent label of the workload.
     """
 
     def __init__(self, spark: SparkSession, encodings: Encodings, *, granularity: str = "table") -> None:
         self.spark, self.encodings, self.granularity = spark, encodings, granularity
         self.columns: dict[str, list[str]] = {}
-        self.labels: dict[str, list[int]] = {}
-        self.models: dict[str, object] = {}
-
-    def fit(self, samples: list[tuple[QuerySpec, int]], *, trees: int = 50, depth: int = 6, seed: int = 0) -> None:
-        groups: dict[str, list[tuple[QuerySpec, int]]] = {}
+        self.labels: dict[str, list[int]] = {}  # most frequent first
+        self.contexts: dict[str, Context] = {}
+        self.models: dict[tuple[str, int], GBTClassificationModel] = {}
+        self.default: int | None = None
+
+    @staticmethod
+    def _ranked(labels: list[int]) -> list[int]:
+        n = Counter(labels)
+        return sorted(n, key=lambda x: (-n[x], x))
+
+    def fit(self, samples: list[tuple[QuerySpec, int]], *, trees: int = 20, depth: int = 4, seed: int = 0) -> None:
+        groups: dict[Context, list[tuple[QuerySpec, int]]] = {}
         for q, label in samples:
-            groups.setdefault(context_key(context_of(q, self.granularity)), []).append((q, label))
-        for key, members in groups.items():
+            groups.setdefault(context_of(q, self.granularity), []).append((q, label))
+        if samples:
+            self.default = self._ranked([label for _, label in samples])[0]
+        for context, members in groups.items():
+            key = context_key(context)
             columns = sorted({f"{q.tables[p.ref[0]]}.{p.ref[1]}" for q, _ in members for p in simple_filters(q.filters)})
-            known = sorted({label for _, label in members})
-            self.columns[key], self.labels[key] = columns, known
+            known = self._ranked([label for _, label in members])
+            self.contexts[key], self.columns[key], self.labels[key] = context, columns, known
             if len(known) > 1 and columns:
-                rows = [(Vectors.dense(featurize(q, columns, self.encodings)), float(known.index(label))) for q, label in members]
-                self.models[key] = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(self.spark.createDataFrame(rows, ["features", "label"]))
+                for one in known if len(known) > 2 else known[:1]:
+                    rows = [(Vectors.dense(featurize(q, columns, self.encodings)), float(label == one)) for q, label in members]
+                    self.models[key, one] = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(self.spark.createDataFrame(rows, ["features", "label"]))
 
     def predict(self, q: QuerySpec) -> int:
-        """Hint set of a query; a context that was not trained answers with all hints on of the majority."""
-        key = context_key(context_of(q, self.granularity))
-        if key not in self.labels:
-            raise KeyError(f"no model for the context of {q.sql()}")
-        if key not in self.models:
-            return self.labels[key][0]
-        return self.labels[key][int(self.models[key].predict(Vectors.dense(featurize(q, self.columns[key], self.encodings))))]
+        """Hint set of a query; ValueError only if nothing was ever fitted."""
+        if self.default is None:
+            raise ValueError("no sample was fitted")
+        context = covering(context_of(q, self.granularity), list(self.contexts.values()))
+        if context is None:
+            return self.default
+        key = context_key(context)
+        known = self.labels[key]
+        models = {one: self.models[key, one] for one in known if (key, one) in self.models}
+        if not models:
+            return known[0]
+        x = Vectors.dense(featurize(q, self.columns[key], self.encodings))
+        chance = {one: float(m.predictProbability(x)[1]) for one, m in models.items()}
+        if len(known) == 2:
+            return known[0] if chance[known[0]] >= 0.5 else known[1]
+        return max(known, key=lambda one: chance[one])
 
     def store(self, path: str) -> None:
-        for key, m in self.models.items():
-            m.write().overwrite().save(f"{path}/{key}")
-        write_text(self.spark, f"{path}/manifest.json", json.dumps({"granularity": self.granularity, "columns": self.columns, "labels": self.labels, "models": sorted(self.models), "encodings": self.encodings.to_json()}))
+        for (key, one), m in self.models.items():
+            m.write().overwrite().save(f"{path}/{key}-{one}")
+        contexts = {k: sorted(map(list, c)) for k, c in self.contexts.items()}
+        write_text(self.spark, f"{path}/manifest.json", json.dumps({"granularity": self.granularity, "columns": self.columns, "labels": self.labels, "contexts": contexts, "default": self.default, "models": sorted(map(list, self.models)), "encodings": self.encodings.to_json()}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ContextClassifier:
         d = json.loads(read_text(spark, f"{path}/manifest.json"))
         out = cls(spark, Encodings.from_json(d["encodings"]), granularity=d["granularity"])
-        out.columns, out.labels = d["columns"], d["labels"]
-        out.models = {k: RandomForestClassificationModel.load(f"{path}/{k}") for k in d["models"]}
+        out.columns, out.labels, out.default = d["columns"], d["labels"], d["default"]
+        out.contexts = {k: frozenset(map(tuple, c)) for k, c in d["contexts"].items()}
+        out.models = {(k, one): GBTClassificationModel.load(f"{path}/{k}-{one}") for k, one in d["models"]}
         return out
 
 

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Hint:
-    """A planner feature that can be switched off; ``on`` and ``off`` are settings."""
+    """A planner feature that can be switched off; ``on`` and ``off`` are settings, ``join`` a join operator that it allows."""
 
     name: str
     short: str
     on: tuple[tuple[str, str], ...]
     off: tuple[tuple[str, str], ...]
+    join: str = ""
 
 
 def _switch(key: str) -> tuple[tuple[tuple[str, str], ...], tuple[tuple[str, str], ...]]:
@@ -22,8 +23,8 @@ def _switch(key: str) -> tuple[tuple[tuple[str, str], ...], tuple[tuple[str, str
 
 #: The lowest bit is the first hint.
 CORE = (
-    Hint("hash join", "hj", (("spark.sql.join.preferSortMergeJoin", "false"),), (("spark.sql.join.preferSortMergeJoin", "true"),)),
-    Hint("broadcast join", "bj", (("spark.sql.autoBroadcastJoinThreshold", "10485760"),), (("spark.sql.autoBroadcastJoinThreshold", "-1"),)),
+    Hint("hash join", "hj", (), (), "hash"),
+    Hint("broadcast join", "bj", (("spark.sql.autoBroadcastJoinThreshold", "10485760"),), (("spark.sql.autoBroadcastJoinThreshold", "-1"),), "broadcast"),
     Hint("filter pushdown", "fp", *_switch("spark.sql.parquet.filterPushdown")),
     Hint("aggregate pushdown", "ap", *_switch("spark.sql.parquet.aggregatePushdown")),
     Hint("vectorized reader", "vr", *_switch("spark.sql.parquet.enableVectorizedReader")),
@@ -76,6 +77,10 @@ class HintSet:
             out |= dict(h.on if on else h.off)
         return out
 
+    def joins(self) -> tuple[str, ...]:
+        """Join operators in order of preference; sorting and merging is always possible."""
+        return (*(h.join for h, on in zip(self.library, self.active(), strict=True) if on and h.join), "merge")
+
     def binary(self) -> str:
         return format(self.bits, f"0{len(self.library)}b")
 

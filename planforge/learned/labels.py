@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planforge.plans.runtime import execute, plan_key, settings
+from planforge.plans.runtime import execute, plan_key, settings, with_joins
 
 from .hints import CORE, Hint, HintSet
 
@@ -63,12 +63,12 @@ def label_query(spark: SparkSession, name: str, query: Callable[[], DataFrame],
 
     def attempt(hints: HintSet, level: int, timeout: float, removed: str | None) -> Trial:
         with settings(spark, {"spark.sql.adaptive.enabled": "false"} | hints.conf()):
-            df = query()
+            df = with_joins(query(), hints.joins())
             key = plan_key(df)
             if key in seen:
                 old = seen[key]
                 return Trial(name, hints, old.seconds, level, False, old.timed_out, True, key, removed)
-            done = execute(df, timeout=timeout, repeat=search.repeat)
+            done = execute(df, timeout=timeout, repeat=search.repeat, rows=False)
         seen[key] = Trial(name, hints, done.seconds, level, False, done.timed_out, False, key, removed)
         return seen[key]
 

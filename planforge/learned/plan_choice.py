@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planforge.plans.runtime import PlanNode, execute, physical_plan, settings
+from planforge.plans.runtime import PlanNode, execute, physical_plan, settings, with_joins
 from planforge.sources.storage import read_text, write_text
 from planforge.workload.executions import plan_from_json, plan_json
 
@@ -23,37 +23,39 @@ from .set_model import Adam
 FRESH = {"spark.sql.adaptive.enabled": "false"}  # plans are compared as planned
 
 #: Choices that an arm switches on; a plan needs one of each group.
-JOINS = {"hash": {"spark.sql.join.preferSortMergeJoin": "false"}, "merge": {"spark.sql.join.preferSortMergeJoin": "true"}, "broadcast": {}}
-SCANS = {"pushdown": {"spark.sql.parquet.filterPushdown": "true"}, "vectorized": {"spark.sql.parquet.enableVectorizedReader": "true"}, "aggregate": {"spark.sql.parquet.aggregatePushdown": "true"}}
+JOINS = ("hash", "merge", "broadcast")
+SCANS = {"pushdown": "spark.sql.parquet.filterPushdown", "vectorized": "spark.sql.parquet.enableVectorizedReader", "aggregate": "spark.sql.parquet.aggregatePushdown"}
 
 
 @dataclass(frozen=True)
 class Arm:
+    """``joins``: the join operators that the arm leaves, put on the query's joins as hints; ``conf``: settings of its scans."""
+
     name: str
     conf: tuple[tuple[str, str], ...]
+    joins: tuple[str, ...] = ()
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return with_joins(df, self.joins) if self.joins else df
 
 
 def arms() -> list[Arm]:
     """Every non-empty set of join choices with every non-empty set of scan choices.
 
-    Index scans do not exist in Spark; the scan choices are its own
-    counterparts.  The first arm has all on.
+    Of hash and merge joins the planner itself would take merge joins, so that
+    hash joins are taken only without them.  Index scans do not exist in Spark;
+    the scan choices are its own counterparts.  The first arm has all on.
     """
 
     def subsets(names):
         return [tuple(n for n, b in zip(names, bits, strict=True) if b) for bits in product((1, 0), repeat=len(names)) if any(bits)]
 
     out = []
-    for joins, scans in product(subsets(list(JOINS)), subsets(list(SCANS))):
-        conf = {
-            "spark.sql.join.preferSortMergeJoin": str("merge" in joins or "hash" not in joins).lower(),
-            "spark.sql.autoBroadcastJoinThreshold": "10485760" if "broadcast" in joins else "-1",
-            "spark.sql.parquet.filterPushdown": str("pushdown" in scans).lower(),
-            "spark.sql.parquet.enableVectorizedReader": str("vectorized" in scans).lower(),
-            "spark.sql.parquet.aggregatePushdown": str("aggregate" in scans).lower(),
-        }
-        arm = Arm("+".join((*joins, *scans)), tuple(sorted(conf.items())))
-        if all(a.conf != arm.conf for a in out):
+    for joins, scans in product(subsets(JOINS), subsets(list(SCANS))):
+        conf = {key: str(name in scans).lower() for name, key in SCANS.items()}
+        order = tuple(j for j in ("broadcast", "merge", "hash") if j in joins and not (j == "hash" and "merge" in joins))
+        arm = Arm("+".join((*joins, *scans)), tuple(sorted(conf.items())), order)
+        if all((a.conf, a.joins) != (arm.conf, arm.joins) for a in out):
             out.append(arm)
     return out
 
@@ -212,7 +214,7 @@ class PlanChooser:
         out = []
         for arm in self.arms:
             with settings(self.spark, FRESH | dict(arm.conf)):
-                out.append(physical_plan(query()))
+                out.append(physical_plan(arm.apply(query())))
         return out
 
     def predict(self, plan: PlanNode) -> float:
@@ -225,14 +227,18 @@ class PlanChooser:
         costs = [self.predict(p) for p in self.plans(query)]
         return self.arms[int(np.argmin(costs))]
 
-    def run(self, query: Callable[[], DataFrame], arm: Arm | None = None, *, timeout: float | None = None):
-        """Executes under an arm (the chosen one) and learns from it."""
+    def run(self, query: Callable[[], DataFrame], arm: Arm | None = None, *, timeout: float | None = None, rows: bool = True):
+        """Executes under an arm (the chosen one) and learns from it; a run that timed out has no known runtime and is not learned.
+
+        ``rows``: see :func:`planforge.plans.runtime.execute`.
+        """
         arm = arm or self.choose(query)
         with settings(self.spark, FRESH | dict(arm.conf)):
-            df = query()
+            df = arm.apply(query())
             plan = physical_plan(df)
-            done = execute(df, timeout=timeout)
-        self.add(plan, done.seconds * 1000)
+            done = execute(df, timeout=timeout, rows=rows)
+        if not done.timed_out:
+            self.add(plan, done.seconds * 1000)
         return arm, done
 
     def add(self, plan: PlanNode, ms: float) -> None:
@@ -245,10 +251,16 @@ class PlanChooser:
         every, self.experience.every = self.experience.every, float("inf")
         for q in workload:
             for arm in self.arms:
-                self.run(q, arm, timeout=timeout)
+                self.run(q, arm, timeout=timeout, rows=False)
         self.experience.every = every
         self.train()
 
+    def calibrate_from(self, samples: list[tuple[PlanNode, float]]) -> None:
+        """Learns from executions recorded before (plan, milliseconds), then one training; nothing is run."""
+        for plan, ms in samples:
+            self.experience.add(plan, ms)
+        self.train()
+
     def train(self, seed: int = 0) -> None:
         plans, ms = zip(*self.experience.items, strict=True)
         self.features = PlanFeatures.fit(list(plans), list(ms))
@@ -273,12 +285,12 @@ class PlanChooser:
         raw = io.BytesIO()
         np.savez_compressed(raw, **(self.model.params if self.model else {}))
         f = self.features
-        write_text(self.spark, f"{path}/model.json", json.dumps({"arms": [[a.name, list(map(list, a.conf))] for a in self.arms], "features": [f.operators, f.top_rows, f.top_runtime] if f else None, "weights": base64.b64encode(raw.getvalue()).decode()}))
+        write_text(self.spark, f"{path}/model.json", json.dumps({"arms": [[a.name, list(map(list, a.conf)), list(a.joins)] for a in self.arms], "features": [f.operators, f.top_rows, f.top_runtime] if f else None, "weights": base64.b64encode(raw.getvalue()).decode()}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **options) -> PlanChooser:
         d = json.loads(read_text(spark, f"{path}/model.json"))
-        out = cls(spark, [Arm(n, tuple(map(tuple, c))) for n, c in d["arms"]], **options)
+        out = cls(spark, [Arm(n, tuple(map(tuple, c)), tuple(j)) for n, c, j in d["arms"]], **options)
         out.experience = Experience.load(spark, f"{path}/experience", out.experience.window, out.experience.every)
         if d["features"]:
             out.features = PlanFeatures(*d["features"])

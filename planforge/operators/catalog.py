@@ -8,15 +8,20 @@ kept as one table:
 
 kind ``all``: no condition; ``eq`` / ``eq_rest``: a common value / any other
 value; ``range``: a histogram bucket; ``gram`` / ``gram_rest``: rows with a
-common trigram / with any rare one.  Keys and edges are JSON literals, so that
-they keep their type.
+common trigram / with any rare one.  Keys and edges are written as a letter
+for the type and a canonical value, and a literal is brought into its column's
+form before it is looked up: 10, 10.0 and a decimal 10.00 are one number, a date
+and its midnight one time.
 """
 
 from __future__ import annotations
 
 import datetime
 import json
+import math
 from dataclasses import dataclass
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -65,24 +70,61 @@ class Wanted:
         return cls(tuple((t, c, tuple(sorted(f))) for (t, c), f in sorted(out.items())))
 
 
-def encode(value) -> str:
-    if isinstance(value, (datetime.datetime, datetime.date)):
-        return json.dumps({"time": value.isoformat(" ") if isinstance(value, datetime.datetime) else value.isoformat()})
-    return json.dumps(value)
+def kind_of(value) -> str:
+    """The letter of a stored value: bool, exact number, floating number, day, time or string."""
+    if isinstance(value, bool):
+        return "b"
+    if isinstance(value, (int, Decimal)):
+        return "x"
+    if isinstance(value, float):
+        return "f"
+    if isinstance(value, datetime.datetime):
+        return "t"
+    return "d" if isinstance(value, datetime.date) else "s"
+
+
+def _time(value) -> datetime.datetime:
+    if isinstance(value, str):
+        value = datetime.datetime.fromisoformat(value.strip())
+    if not isinstance(value, datetime.datetime):
+        value = datetime.datetime.combine(value, datetime.time())
+    return value.replace(tzinfo=None)
+
+
+def comparable(kind: str, value):
+    """A literal in the form in which values of a column of this kind compare; ValueError if it has none."""
+    if kind == "b" and isinstance(value, bool):
+        return value
+    if kind in "xf" and isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
+        if isinstance(value, float) and not math.isfinite(value):
+            if math.isnan(value):
+                raise ValueError(value)
+            return value
+        return Fraction(float(value)) if kind == "f" else Fraction(str(value))
+    if kind in "dt" and isinstance(value, (str, datetime.date)):
+        return _time(value)
+    if kind == "s" and isinstance(value, str):
+        return value
+    raise ValueError(f"{value!r} does not compare as {kind}")
 
 
-def decode(text: str | None):
-    v = None if text is None else json.loads(text)
-    if isinstance(v, dict):
-        return v["time"]
-    return v
+def encode(value) -> str:
+    """The key of a stored value."""
+    kind = kind_of(value)
+    try:
+        return f"{kind}:{comparable(kind, value)}"
+    except ValueError:
+        return f"{kind}:?{value}"  # no literal is equal to it
 
 
-def _comparable(value):
-    """Times compare as ISO text, as decode gives them."""
-    if isinstance(value, datetime.datetime):
-        return value.isoformat(" ")
-    return value.isoformat() if isinstance(value, datetime.date) else value
+def decode(text: str | None):
+    """The comparable value of a key; None for an open side."""
+    if text is None or text == "null":
+        return None
+    kind, value = text.split(":", 1)
+    if kind in "xf":
+        return float(value) if value in ("inf", "-inf") else Fraction(value)
+    return _time(value) if kind in "dt" else value == "True" if kind == "b" else value
 
 
 def _compressed(degree_table: DataFrame, accuracy: float, by: tuple[str, ...], **fixed) -> DataFrame:
@@ -138,6 +180,7 @@ class Catalog:
         self.eq: dict[tuple, dict[str, Constant]] = {}
         self.rest: dict[tuple, Constant] = {}
         self.ranges: dict[tuple, list[tuple[int, object, object, Constant]]] = {}
+        self.kinds: dict[tuple, str] = {}  # of filter columns, as their stored values tell
         self.grams: dict[tuple, dict[str, Constant]] = {}
         self.rare: dict[tuple, Constant] = {}
         for r in rows:
@@ -146,10 +189,14 @@ class Catalog:
                 self.plain[r.tbl, r.join_col] = f
             elif r.kind == "eq":
                 self.eq.setdefault(at, {})[r.key] = f
+                self.kinds[at] = r.key[0]
             elif r.kind == "eq_rest":
                 self.rest[at] = f
             elif r.kind == "range":
                 self.ranges.setdefault(at, []).append((r.level, decode(r.lo), decode(r.hi), f))
+                for edge in (r.lo, r.hi):
+                    if edge not in (None, "null"):
+                        self.kinds[at] = edge[0]
             elif r.kind == "gram":
                 self.grams.setdefault(at, {})[json.loads(r.key)["gram"]] = f
             elif r.kind == "gram_rest":
@@ -185,15 +232,27 @@ class Catalog:
     # --- lookups; each falls back on the unconditioned function ---
 
     def equal(self, table: str, join: str, column: str, value) -> Constant:
+        """A literal that does not compare with the column in its own type says nothing: no condition then."""
         at = (table, join, column)
         if at not in self.rest and at not in self.eq:
             return self.plain[table, join]
-        return self.eq.get(at, {}).get(encode(value), self.rest.get(at, Constant.zero()))
+        kind = self.kinds.get(at)
+        if kind is None:  # no common value at all
+            return self.rest.get(at, Constant.zero())
+        try:
+            key = f"{kind}:{comparable(kind, value)}"
+        except ValueError:
+            return self.plain[table, join]
+        return self.eq.get(at, {}).get(key, self.rest.get(at, Constant.zero()))
 
     def between(self, table: str, join: str, column: str, lo, hi) -> Constant:
         """Deepest bucket that encloses [lo, hi]; None leaves a side open.  A bucket holds (its lo, its hi]."""
-        lo, hi = _comparable(lo), _comparable(hi)
-        for _, a, b, f in self.ranges.get((table, join, column), ()):
+        at = (table, join, column)
+        try:
+            lo, hi = (None if v is None else comparable(self.kinds[at], v) for v in (lo, hi))
+        except (KeyError, ValueError):
+            return self.plain[table, join]
+        for _, a, b, f in self.ranges.get(at, ()):
             if (a is None or (lo is not None and lo > a)) and (b is None or (hi is not None and hi <= b)):
                 return f
         return self.plain[table, join]

@@ -325,14 +325,89 @@ for _name, _sql in SPJ.items():
     QUERIES[_name], ORACLE_SQL[_name] = _ues(_sql), _sql
 
 
+#: Filters on one join, with literals of each type, written as a user would write them.
+BOUNDED = {
+    "all": "",
+    "double = integer": "AND l.l_quantity = 10",
+    "double = decimal": "AND l.l_quantity = 10.0",
+    "double in": "AND l.l_quantity IN (10, 20, 30.0)",
+    "double range": "AND l.l_quantity <= 7",
+    "double between": "AND l.l_quantity BETWEEN 12 AND 30",
+    "unseen": "AND l.l_quantity = 1234567",
+    "string": "AND o.o_orderstatus = 'F'",
+    "two sides": "AND l.l_quantity > 45 AND o.o_orderstatus = 'O'",
+}
+
+
+def _bounded(condition: str) -> str:
+    return f"SELECT count(*) AS n FROM lineitem l, orders o WHERE l.l_orderkey = o.o_orderkey {condition}"
+
+
+def catalog_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the bound catalog that a workload needs and holds its bounds against the exact sizes: (name, n, ok)."""
+    from planforge.plans.parse import parse_query
+    from planforge.sources.registry import Database
+
+    from .catalog import Catalog, Settings, Wanted
+    from .join_order import PreciseStats, build, optimize
+
+    db, specs = Database(spark, sf_dir), {name: parse_query(_bounded(c)) for name, c in BOUNDED.items()}
+    catalog = Catalog.build(db, Wanted.from_workload(list(specs.values())), Settings(common=20, depth=3))
+    out, stats = None, PreciseStats(db)
+    for name, spec in specs.items():
+        n = build(spec, optimize(spec, stats, db.schema), db).agg(F.count(F.lit(1)).alias("n"))
+        row = n.select(F.lit(name).alias("name"), "n", (F.lit(catalog.estimate(spec) + 1e-6) >= F.col("n")).alias("ok"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+QUERIES["catalog_bounds"] = catalog_bounds
+ORACLE_SQL["catalog_bounds"] = " UNION ALL ".join(f"SELECT '{name}' AS name, n, true AS ok FROM ({_bounded(c)})" for name, c in BOUNDED.items())
+
+
+def generated_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty generated queries: whether the ordered joins and the query's own SQL text count the same rows, and the bound holds (i, same, ok)."""
+    from planforge.plans.parse import parse_query
+    from planforge.sources.registry import Database
+    from planforge.workload.random_spj import distinct, generate
+
+    from .join_order import PreciseStats, build, optimize
+
+    db, out = Database(spark, sf_dir), None
+    stats = PreciseStats(db)
+    views = {t: f"_generated_{t}" for t in db.schema.tables}
+    for t, view in views.items():
+        db.table(t).createOrReplaceTempView(view)
+    for i, spec in enumerate(distinct(generate(db, seed=7, tables=(2, 3), filters=(1, 3)), 20)):
+        again = parse_query(spec.sql())
+        tree = optimize(again, stats, db.schema)
+        n = build(again, tree, db).agg(F.count(F.lit(1)).alias("n"))
+        text = to_views(spec, views)
+        m = spark.sql(text).toDF("m")
+        row = n.join(F.broadcast(m)).select(F.lit(i).cast("long").alias("i"), (F.col("n") == F.col("m")).alias("same"), (F.col("n") <= F.lit(float(tree.bound) + 1e-6)).alias("ok"))  # one row each
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def to_views(spec, views: dict[str, str]) -> str:
+    """The query's SQL over other names of its tables; its aliases stay."""
+    from dataclasses import replace
+
+    return replace(spec, tables={a: views[t] for a, t in spec.tables.items()}).sql()
+
+
+QUERIES["generated_workload"] = generated_workload
+ORACLE_SQL["generated_workload"] = "SELECT i, true AS same, true AS ok FROM range(20) t(i)"
+
+
 # --- encodings -------------------------------------------------------------------
 
 
-@query("SELECT event_type, round(sum(value * pow(0.8, n - rn)), 2) AS cost FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) rn, count(*) OVER (PARTITION BY event_type) n FROM events) WHERE n - rn < 20 GROUP BY event_type")
+@query("SELECT event_type, round(sum(value * pow(0.8, n - rn)), 2) AS cost FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) rn, count(*) OVER (PARTITION BY event_type) n FROM events) GROUP BY event_type")
 def tonic_cost_fold(t):
     from .synopsis import cost_fold
 
-    return cost_fold(t("events"), "event_type", "event_id", "value", gamma=0.8, window=20).select("event_type", F.round("cost", 2).alias("cost"))
+    return cost_fold(t("events"), "event_type", "event_id", "value", gamma=0.8).select("event_type", F.round("cost", 2).alias("cost"))
 
 
 @query("SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id DESC) rn FROM events) WHERE rn <= 2000")

@@ -12,24 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planforge.plans.query import QuerySpec, to_sql
+from planforge.plans.runtime import execute
+from planforge.sources.registry import Database
+from planforge.sources.storage import materialize
 
-from .join_order import Tree
+from .join_order import JOIN_HINTS, Tree, build
 
 Step = tuple[tuple[str, ...], tuple[str, ...]]  # tables and, if the synopsis looks at them, filters
 GAMMA = 0.8
-SALTS = 64
 
 
-def cost_fold(observations: DataFrame, group: str, order: str, cost: str, *, gamma: float = GAMMA, window: int = 20) -> DataFrame:
-    """(group, cost): sum of the last ``window`` costs, each older one damped by another ``gamma``.
+def cost_fold(observations: DataFrame, group: str, order: str, cost: str, *, gamma: float = GAMMA) -> DataFrame:
+    """(group, cost): sum of all costs, each older one damped by another ``gamma``.
 
-    The last observations are first found per salt, so that a hot group is
-    spread, and then among those.
+    ``order`` is unique within a group.  Observations are range-partitioned by
+    (group, order), so a hot group is spread; each partition folds its own part
+    of a group, and the parts, one row per group and partition, are folded in
+    order: an older part is damped once for every later observation.
     """
-    salted = observations.withColumn("_s", F.pmod(F.xxhash64(order), F.lit(SALTS)))
-    near = salted.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_s").orderBy(F.desc(order)))).where(F.col("_r") <= window)
-    last = near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))).where(F.col("_r") <= window)
-    return last.groupBy(group).agg(F.sum(F.col(cost) * F.pow(F.lit(gamma), F.col("_r") - 1)).alias("cost"))
+    parts = materialize(observations.select(group, order, cost).repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()), "fold-parts")
+    own = Window.partitionBy(group, "_part").orderBy(F.desc(order))
+    folded = parts.withColumn("_r", F.row_number().over(own)).groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(cost) * F.pow(F.lit(gamma), F.col("_r") - 1)).alias("_cost"))
+    later = Window.partitionBy(group).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    damped = folded.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    return damped.groupBy(group).agg(F.sum(F.col("_cost") * F.pow(F.lit(gamma), F.col("_later"))).alias("cost"))
 
 
 def join_path(spec: QuerySpec, tree: Tree, filters: bool = False) -> list[tuple[Step, Tree]]:
@@ -115,6 +121,36 @@ class Synopsis:
             self.integrate(spec, tree, combo, cost_of(combo))
         return len(combos)
 
+    def explore_executed(self, db: Database, spec: QuerySpec, tree: Tree, operators: tuple[str, ...] = tuple(JOIN_HINTS), *, timeout: float | None = None, most: int | None = None, seed: int = 0) -> int:
+        """As explore, with true costs: each hinted plan runs, and a join costs the seconds of its subtree under the combination.
+
+        A run that exceeds ``timeout`` counts with it.
+        """
+
+        def measure(combo: dict[frozenset[str], str]) -> dict[frozenset[str], float]:
+            out = {}
+            for join in tree.inner_nodes():
+                chosen = {a: op for a, op in combo.items() if a <= join.aliases}
+                out[join.aliases] = execute(build(spec, join, db, operators=chosen), timeout=timeout, rows=False).seconds
+            return out
+
+        return self.explore(spec, tree, operators, measure, most=most, seed=seed)
+
+    def feedback(self, db: Database, spec: QuerySpec, tree: Tree, *, timeout: float | None = None) -> dict[frozenset[str], float]:
+        """Runs the tree as recommended and integrates what its joins cost; joins without a recommendation run as Spark plans them and are not learned from."""
+        chosen = self.recommend(spec, tree)
+        costs = {}
+        for join in tree.inner_nodes():
+            if join.aliases in chosen:
+                inside = {a: op for a, op in chosen.items() if a <= join.aliases}
+                costs[join.aliases] = execute(build(spec, join, db, operators=inside), timeout=timeout, rows=False).seconds
+        self.integrate(spec, tree, chosen, costs)
+        return costs
+
+    def reset(self) -> None:
+        """Forgets all experience."""
+        self.root = Node()
+
     def rows(self) -> list[tuple]:
         out: list[tuple] = []
 

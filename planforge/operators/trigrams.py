@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from planforge.functions.scalars import trigrams
 
+from .ordered import ordered_scan
+
 
 def exploded(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep.., gram): one row per trigram occurrence."""
@@ -19,8 +20,10 @@ def trigram_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def trigram_rank(df: DataFrame, text: str) -> DataFrame:
-    """(gram, n, rnk): dense rank by frequency, over the aggregated trigrams and not their occurrences."""
-    return trigram_counts(df, text).withColumn("rnk", F.dense_rank().over(Window.orderBy(F.desc("n"))).cast("long"))
+    """(gram, n, rnk): dense rank by frequency; the distinct frequencies are numbered and joined on."""
+    counts = trigram_counts(df, text)
+    ranks = ordered_scan(counts.select("n").distinct(), [F.desc("n")], number="rnk")
+    return counts.join(ranks, "n").select("gram", "n", F.col("rnk").cast("long").alias("rnk"))
 
 
 def _ranked_degrees(df: DataFrame, text: str, join_column: str) -> DataFrame:

@@ -74,8 +74,16 @@ def physical_plan(df: DataFrame) -> PlanNode:
 
 
 def plan_key(df: DataFrame) -> str:
-    """Hash of the plan before adaptive execution, without expression numbers: equal plans have equal keys."""
+    """Hash of the plan before adaptive execution, without expression numbers: equal plans have equal keys.
+
+    Settings that change how a plan runs but not its text count as well: code
+    generation, and filter pushdown where a scan has filters.
+    """
     text = re.sub(r"#\d+L?|plan_id=\d+|\[id=.*?\]", "", df._jdf.queryExecution().sparkPlan().toString())
+    conf = df.sparkSession.conf
+    text += conf.get("spark.sql.codegen.wholeStage")
+    if re.search(r"PushedFilters: \[[^\]]", text):
+        text += conf.get("spark.sql.parquet.filterPushdown")
     return hashlib.sha256(text.encode()).hexdigest()
 
 
@@ -90,6 +98,51 @@ def plan_cost(node: PlanNode) -> float:
     return own + sum(plan_cost(c) for c in node.children)
 
 
+STRATEGIES = {"hash": "SHUFFLE_HASH$", "merge": "SHUFFLE_MERGE$", "broadcast": "BROADCAST$"}
+SMALL_SIDE = 10 << 20  # bytes up to which a side may be broadcast by choice
+
+
+def with_joins(df: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """The query with a hint on each equi-join: one of ``allowed``, in order of preference.
+
+    A join is broadcast if that is allowed and the planner's estimate of a side
+    is at most ``SMALL_SIDE`` bytes, or if nothing else is allowed; otherwise
+    the first of the others is taken.  Hints that are written in the query stay.
+    """
+    spark = df.sparkSession
+    jvm, logical = spark._jvm, "org.apache.spark.sql.catalyst.plans.logical."
+    others = [a for a in allowed if a != "broadcast"]
+
+    def module(name: str):
+        return getattr(jvm.java.lang.Class.forName(logical + name, True, jvm.java.lang.Thread.currentThread().getContextClassLoader()).getField("MODULE$"), "get")(None)
+
+    def size(plan) -> int:
+        return int(str(plan.stats().sizeInBytes()))
+
+    def hint(name: str, left: bool, right: bool):
+        info = jvm.scala.Some(getattr(jvm, logical + "HintInfo")(jvm.scala.Some(module(STRATEGIES[name]))))
+        none = getattr(jvm.scala, "None$").__getattr__("MODULE$")
+        return getattr(jvm, logical + "JoinHint")(info if left else none, info if right else none)
+
+    def chosen(join):
+        sizes = size(join.left()), size(join.right())
+        if "broadcast" in allowed and (min(sizes) <= SMALL_SIDE or not others):
+            return hint("broadcast", sizes[0] < sizes[1], sizes[0] >= sizes[1])
+        return hint(others[0], True, True)
+
+    def rewrite(plan):
+        children = plan.children()
+        if children.size():
+            new = [rewrite(children.apply(i)) for i in range(children.size())]
+            plan = plan.withNewChildren(jvm.scala.jdk.javaapi.CollectionConverters.asScala(new).toSeq())
+        if plan.getClass().getSimpleName() == "Join" and plan.condition().isDefined() and not plan.hint().leftHint().isDefined() and not plan.hint().rightHint().isDefined():
+            plan = plan.copy(plan.left(), plan.right(), plan.joinType(), plan.condition(), chosen(plan))
+        return plan
+
+    plan = rewrite(df._jdf.queryExecution().analyzed())
+    return DataFrame(getattr(jvm, "org.apache.spark.sql.classic.Dataset").ofRows(spark._jsparkSession, plan), spark)
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings for the time of a block."""
@@ -111,12 +164,23 @@ class Execution:
     plan: PlanNode | None
 
 
-def execute(df: DataFrame, *, timeout: float | None = None, repeat: int = 1) -> Execution:
-    """Runs a query (its result is small: a count or a report) ``repeat`` times and takes the median time.
+def _small(df: DataFrame) -> bool:
+    """Whether the result has one row by its shape: an aggregate without groups."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.maxRows().isDefined() and int(str(plan.maxRows().get())) <= MOST_ROWS
+
+
+MOST_ROWS = 10_000  # of a result that come to the driver
+
+
+def execute(df: DataFrame, *, timeout: float | None = None, repeat: int = 1, rows: bool = True) -> Execution:
+    """Runs a query ``repeat`` times and takes the median time.
 
-    With a timeout the query's jobs are cancelled when it has passed.
+    With ``rows`` up to ``MOST_ROWS`` rows come to the driver, and a larger
+    result is an error; without, the whole result is computed where it is and
+    dropped.  With a timeout the query's jobs are cancelled when it has passed.
     """
-    sc, times, rows = df.sparkSession.sparkContext, [], None
+    sc, times, got = df.sparkSession.sparkContext, [], None
     for _ in range(repeat):
         group, fired = f"planforge-{uuid.uuid4().hex}", threading.Event()
         timer = None
@@ -133,7 +197,10 @@ def execute(df: DataFrame, *, timeout: float | None = None, repeat: int = 1) ->
         try:
             if timer:
                 timer.start()
-            rows = df.collect()
+            if rows:
+                got = df.collect() if _small(df) else df.take(MOST_ROWS + 1)
+            else:
+                df.write.format("noop").mode("overwrite").save()
         except Exception:
             if fired.is_set():
                 return Execution(None, time.monotonic() - began, True, None)
@@ -143,4 +210,6 @@ def execute(df: DataFrame, *, timeout: float | None = None, repeat: int = 1) ->
                 timer.cancel()
             sc._jsc.clearJobGroup()
         times.append(time.monotonic() - began)
-    return Execution(rows, sorted(times)[len(times) // 2], False, physical_plan(df))
+    if got is not None and len(got) > MOST_ROWS:
+        raise ValueError(f"the result has more than {MOST_ROWS} rows; run it with rows=False")
+    return Execution(got, sorted(times)[len(times) // 2], False, physical_plan(df))

@@ -14,15 +14,29 @@ T = TypeVar("T")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster sets it; a local folder only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/planforge-checkpoints").rstrip("/")
+    """``spark.checkpoint.dir`` as the cluster sets it, else the context's checkpoint folder.
+
+    A temporary folder only where one machine runs everything (a local master).
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = f"file://{tempfile.gettempdir()}/planforge-checkpoints"
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes ``df`` into the shared folder and reads it back, which ends its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/planforge/{what}-{uuid.uuid4().hex}"
+    """Writes ``df`` into the shared folder and reads it back, which ends its lineage.
+
+    The table is deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/planforge/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -14,7 +14,7 @@ from planforge.plans.query import Compare, IsNull, Join, Like, Pred, QuerySpec,
 from planforge.sources.registry import Database
 
 RANGE = ("=", "<>", "<", "<=", ">", ">=")
-POOL = 200  # candidate filter values kept per column
+POOL = 200  # default of Values: rows drawn per column
 
 
 @dataclass
@@ -53,16 +53,22 @@ class Space:
 
 
 class Values:
-    """Filter values per column: a pool that depends on the data and the seed only."""
+    """Filter values per column: ``pool`` rows drawn by a hash of the row and the seed, so common values come more often.
 
-    def __init__(self, db: Database, seed: int) -> None:
-        self.db, self.seed, self._pools = db, seed, {}
+    ``pool`` bounds what the driver holds of a column.  ``nulls`` is the share of rows without a value.
+    """
+
+    def __init__(self, db: Database, seed: int, pool: int = POOL) -> None:
+        self.db, self.seed, self.size, self._pools = db, seed, pool, {}
 
-    def pool(self, table: str, column: str) -> list:
+    def draw(self, table: str, column: str) -> tuple[list, float]:
+        """(values, share of nulls)."""
         if (table, column) not in self._pools:
-            values = self.db.table(table).select(column).where(F.col(column).isNotNull()).distinct()
-            rows = values.orderBy(F.xxhash64(F.lit(self.seed), column), column).limit(POOL).collect()
-            self._pools[table, column] = [r[0] for r in rows]
+            df = self.db.table(table)
+            n, filled = df.agg(F.count(F.lit(1)), F.count(column)).first()
+            rows = df.where(F.col(column).isNotNull()).select(F.xxhash64(F.lit(self.seed), *df.columns).alias("_h"), column)
+            got = rows.orderBy("_h", column).limit(self.size).collect()
+            self._pools[table, column] = [r[1] for r in got], (n - filled) / n if n else 0.0
         return self._pools[table, column]
 
 
@@ -71,10 +77,12 @@ def _value(v):
 
 
 def _predicate(rng: random.Random, values: Values, space: Space, alias: str, table: str, column: str) -> Pred:
-    pool, ops = values.pool(table, column), space.operators[table, column]
-    op = rng.choices(sorted(ops), [ops[o] for o in sorted(ops)])[0]
+    (pool, nulls), ops = values.draw(table, column), space.operators[table, column]
     ref = (alias, column)
-    if not pool or op in ("IS", "IS NOT"):
+    if not pool or rng.random() < nulls:  # a drawn row without a value
+        return IsNull(ref, negated=bool(pool) and rng.random() < 0.5)
+    op = rng.choices(sorted(ops), [ops[o] for o in sorted(ops)])[0]
+    if op in ("IS", "IS NOT"):
         return IsNull(ref, negated=op == "IS NOT")
     v = rng.choice(pool)
     if op.endswith("LIKE"):
@@ -84,7 +92,7 @@ def _predicate(rng: random.Random, values: Values, space: Space, alias: str, tab
     return Compare(ref, op, _value(v))
 
 
-def generate(db: Database, *, seed: int = 0, like: list[QuerySpec] | None = None, ignore: tuple[str, ...] = (), tables: tuple[int, int] = (2, 5), filters: tuple[int, int] = (1, 5), counting: bool = True) -> Iterator[QuerySpec]:
+def generate(db: Database, *, seed: int = 0, like: list[QuerySpec] | None = None, ignore: tuple[str, ...] = (), tables: tuple[int, int] = (2, 5), filters: tuple[int, int] = (1, 5), counting: bool = True, pool: int = POOL) -> Iterator[QuerySpec]:
     """An endless stream of connected queries.
 
     Tables come from a random walk along joins (each table once), with one
@@ -92,7 +100,7 @@ def generate(db: Database, *, seed: int = 0, like: list[QuerySpec] | None = None
     without repetition, by how often the workload uses them.
     """
     rng, space = random.Random(seed), Space.of_workload(like) if like else Space.of_schema(db, ignore)
-    values = Values(db, seed)
+    values = Values(db, seed, pool)
     names = space.tables()
     if not names:
         raise ValueError("there is no table to draw from")

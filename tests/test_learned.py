@@ -3,14 +3,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from planforge.functions.encoders import Numeric, Text, Time, encoder_from_json, encoder_json, fit_encoder
-from planforge.learned.contexts import ContextClassifier, Encodings, context_key, context_of, featurize, super_contexts
+from planforge.learned.contexts import ContextClassifier, Encodings, context_key, context_of, differing, featurize, merged, super_contexts, without
 from planforge.learned.hints import CORE, HintSet
 from planforge.learned.labels import Experience as LabelExperience
 from planforge.learned.labels import Search, best_labels, label_query, trials_frame
 from planforge.learned.plan_choice import Experience, PlanChooser, PlanFeatures, TreeModel, arms
 from planforge.learned.set_model import CardinalityModel, Featurizer, SetModel, qerror_loss, qerrors
 from planforge.plans.parse import parse_query
-from planforge.plans.runtime import PlanNode
+from planforge.plans.runtime import PlanNode, execute, physical_plan, plan_key, settings, with_joins
 from planforge.sources.registry import Database
 from planforge.streaming.experience import ExperienceSink, collect_experience, runtime_windows, sample_stream
 from planforge.workload.random_spj import distinct, generate
@@ -98,11 +98,11 @@ def test_tree_model_gradient():
 
 def test_plan_chooser_prefers_what_was_fast(spark, data, tmp_path):
     made = arms()
-    assert len({a.conf for a in made}) == len(made) >= 20
+    assert len({(a.conf, a.joins) for a in made}) == len(made) >= 20
     q = lambda: spark.read.parquet(f"{data}/orders.parquet").join(spark.read.parquet(f"{data}/customer.parquet"), F.expr("o_custkey = c_custkey")).groupBy().count()
-    c = PlanChooser(spark, [made[0], next(a for a in made if dict(a.conf)["spark.sql.autoBroadcastJoinThreshold"] == "-1")], every=1000, epochs=60, rate=3e-3)
+    c = PlanChooser(spark, [made[0], next(a for a in made if a.joins == ("merge",))], every=1000, epochs=60, rate=3e-3)
     plans = c.plans(q)
-    assert {n.name.split(" ")[0] for p in plans for n in p.walk() if n.is_join} >= {"BroadcastHashJoin"} and len({str([n.name for n in p.walk()]) for p in plans}) == 2
+    assert {n.name.split(" ")[0] for p in plans for n in p.walk() if n.is_join} >= {"BroadcastHashJoin", "SortMergeJoin"} and len({str([n.name for n in p.walk()]) for p in plans}) == 2
     assert c.predict(plans[0]) == float("inf")
     for _ in range(10):
         c.add(plans[0], 1000.0)
@@ -116,6 +116,37 @@ def test_plan_chooser_prefers_what_was_fast(spark, data, tmp_path):
     assert again.choose(q) == arm and len(again.experience.items) == 21
 
 
+def test_arms_change_plans(spark, data):
+    """Join hints and scan settings: at least ten different plans, and each join operator alone is what is planned."""
+    q = lambda: spark.read.parquet(f"{data}/orders.parquet").where("o_totalprice > 1000").join(spark.read.parquet(f"{data}/customer.parquet"), F.expr("o_custkey = c_custkey")).groupBy().count()
+    plans = {}
+    for arm in arms():
+        with settings(spark, {"spark.sql.adaptive.enabled": "false"} | dict(arm.conf)):
+            df = arm.apply(q())
+            plans[arm] = plan_key(df), tuple(n.name.split(" ")[0] for n in physical_plan(df).walk() if n.is_join)
+    assert len(plans) >= 28 and len({key for key, _ in plans.values()}) >= 10
+    one = {arm.joins[0]: joins for arm, (_, joins) in plans.items() if len(arm.joins) == 1}
+    assert one == {"hash": ("ShuffledHashJoin",), "merge": ("SortMergeJoin",), "broadcast": ("BroadcastHashJoin",)}
+    assert with_joins(q(), ("hash",)).first()[0] == q().first()[0] == 1500
+    sets = set()
+    for bits in range(64):
+        with settings(spark, {"spark.sql.adaptive.enabled": "false"} | HintSet(bits).conf()):
+            sets.add(plan_key(with_joins(q(), HintSet(bits).joins())))
+    assert len(sets) >= 12
+
+
+def test_execution_bounds_what_comes_to_the_driver(spark):
+    with pytest.raises(ValueError):
+        execute(spark.range(20_000))
+    assert execute(spark.range(20_000), rows=False).rows is None and len(execute(spark.range(50)).rows) == 50
+
+
+def test_chooser_learns_from_records(spark):
+    c = PlanChooser(spark, arms()[:2], every=1000, epochs=5)
+    c.calibrate_from([(tree(2), 10.0), (tree(3), 20.0)])
+    assert c.predict(tree(2)) < float("inf") and len(c.experience.items) == 2
+
+
 def test_experience_is_bounded():
     e = Experience(window=3, every=2)
     for i in range(5):
@@ -157,8 +188,14 @@ def test_contexts(db, tmp_path):
     c = ContextClassifier(db.spark, enc)
     c.fit([(q, 63 if "'F'" in q.sql() else 31) for q in queries] + [(other, 7)], trees=10)
     assert [c.predict(q) for q in queries] == [63] * 3 + [31] * 3 and c.predict(other) == 7
-    with pytest.raises(KeyError):
-        c.predict(parse_query("SELECT count(*) FROM nation n"))
+    assert c.predict(parse_query("SELECT count(*) FROM nation n")) == 31  # the most frequent label; of equally frequent ones the smallest
+    wide = ContextClassifier(db.spark, enc, granularity="table")
+    wide.fit([(parse_query("SELECT count(*) FROM orders o, customer c WHERE o.o_custkey = c.c_custkey"), x) for x in (5, 9, 9)] + [(other, 5)] * 4)
+    assert wide.predict(queries[0]) == 9 and wide.predict(parse_query("SELECT count(*) FROM nation n")) == 5  # a larger context; the whole workload
+    with pytest.raises(ValueError):
+        ContextClassifier(db.spark, enc).predict(other)
+    x, y = frozenset([("a", ""), ("b", "")]), frozenset([("b", ""), ("c", "")])
+    assert (merged(x, y), without(x, y), differing(x, y)) == (x | y, frozenset([("a", "")]), frozenset([("a", ""), ("c", "")]))
     c.store(str(tmp_path / "ctx"))
     assert [ContextClassifier.load(db.spark, str(tmp_path / "ctx")).predict(q) for q in queries] == [c.predict(q) for q in queries]
 
