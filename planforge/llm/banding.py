@@ -265,10 +265,11 @@ def _follow(sets: Callable, percent: int, minima: int):
     return run
 
 
-def _homes(members: DataFrame, what: str) -> DataFrame:
-    """(node, home): candidates connected through their leaders."""
-    led = materialize(members.where("node != leader").select("leader", "node").distinct(), f"{what}-led")
-    return materialize(components(led).withColumnRenamed("component", "home"), f"{what}-homes")
+def _homes(members: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """(node, home): candidates connected through their leaders; and (leader, node, shared): in how many bands."""
+    led = members.where("node != leader").groupBy("leader", "node").agg(F.count(F.lit(1)).alias("shared"))
+    led = materialize(led, f"{what}-led")
+    return materialize(components(led.select("leader", "node")).withColumnRenamed("component", "home"), f"{what}-homes"), led
 
 
 def _sized(known: DataFrame, block: int) -> tuple[DataFrame, int]:
@@ -279,14 +280,13 @@ def _sized(known: DataFrame, block: int) -> tuple[DataFrame, int]:
     return sizes.select("home", "blocks"), max(total.n // block, total.bytes // BLOCK_BYTES) + 1
 
 
-def _leader_links(members: DataFrame, large: DataFrame, sets: Callable, percent: int, minima: int, block: int, what: str) -> DataFrame:
+def _leader_links(led: DataFrame, large: DataFrame, sets: Callable, percent: int, minima: int, block: int, what: str) -> DataFrame:
     """Links of nodes with one leader each: the one that they share most bands with.
 
     A leader's followers are dealt to parts of about ``block`` nodes, and the
     leader goes to each part: rows grow with the nodes, however large a group is.
     """
-    mine = members.where("node != leader").groupBy("node", "leader").agg(F.count_distinct("h").alias("shared"))
-    mine = mine.groupBy("node").agg(F.min(F.struct((-F.col("shared")).alias("less"), "leader")).alias("m")).select("node", "m.leader")
+    mine = led.groupBy("node").agg(F.min(F.struct((-F.col("shared")).alias("less"), "leader")).alias("m")).select("node", "m.leader")
     mine = materialize(mine.join(large.select("node"), "node", "left_semi"), f"{what}-leaders")
     parts = materialize(mine.groupBy("leader").agg(((F.count(F.lit(1)) + block - 1) / block).cast("int").alias("parts")), f"{what}-parts")
     columns = [c for c in large.columns if c not in ("node", "home")]
@@ -338,8 +338,7 @@ def linked_classes(members: DataFrame, texts: Callable[[DataFrame, int], DataFra
     bytes (beyond one text), each pair that shares a band is compared in one task
     unless it is connected already, and only connecting links leave it.
     """
-    members = materialize(members, f"{what}-members")
-    homes = _homes(members, what)
+    homes, led = _homes(members, what)
     known = texts(homes.select("node"), homes.count()).join(homes, "node")
     if nodes is not None:
         known = known.join(nodes, "node")
@@ -350,15 +349,15 @@ def linked_classes(members: DataFrame, texts: Callable[[DataFrame, int], DataFra
     small = known.where("blocks = 1").drop("blocks").withColumn("label", F.col("node"))
     links = []
     if not large.isEmpty():
-        links.append(_leader_links(members, large, sets, percent, minima, block, what))
+        links.append(_leader_links(led, large, sets, percent, minima, block, what))
         near = materialize(components(links[0]), f"{what}-near")
         large = large.join(near, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         one = large.groupBy("home").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("home")
         large = materialize(large.join(materialize(one, f"{what}-open"), "home", "left_semi"), f"{what}-large")
         buckets = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         fine = band_members(large.select("node", "text").mapInArrow(_send_fine(sets, buckets), PACKED_DDL), buckets)
-        small = small.unionByName(large.drop("home").join(_homes(fine, f"{what}-fine"), "node"))
-        small = materialize(small, f"{what}-known")
+        apart, _ = _homes(fine, f"{what}-fine")
+        small = small.unionByName(large.drop("home").join(apart, "node"))
     dealt, _ = dealt_rows(small, block)
     links.append(materialize(dealt.groupBy("task").applyInArrow(_compare(sets, percent, minima), LINKS), f"{what}-links"))
     every = links[0] if len(links) == 1 else links[0].union(links[1])

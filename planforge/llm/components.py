@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 from .storage import discard, materialize
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the edges of each batch by edges to the smallest node of their local component."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+PACK = 200_000  # edges that a task holds at once in union-find
 
-        def find(x: int, parent=parent) -> int:
-            root = x
-            while (up := parent.get(root, root)) != root:
-                root = up
-            while (up := parent.get(x, x)) != root:
-                parent[x] = root
-                x = up
-            return root
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the edges of a partition by edges to the smallest node of their local component."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while (up := parent.get(x, x)) != root:
+            parent[x] = root
+            x = up
+        return root
+
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["a", "b"])
+    found = [(x, find(x)) for x in list(parent)]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["a", "b"])
 
 
 def _star(edges: DataFrame, large: bool, step: str) -> DataFrame:
@@ -63,15 +66,17 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge; a component is named by its smallest node.
 
     ``edges``: two long columns; loops, repeated and reversed edges may occur,
-    edges with a null end are ignored.  Local union-find first shrinks what the
-    partitions hold; then large-star and small-star alternate until every
+    edges with a null end are ignored.  Local union-find first shrinks what
+    partitions of about ``PACK`` edges hold; then large-star and small-star alternate until every
     component is a star.  Every round is written to the shared folder, so lineage
     stays short; about log2 of the longest chain rounds are needed.
     """
     a, b = edges.columns
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a != b")
-    e = e.mapInArrow(_union_find, "a long, b long")
-    e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges-0")
+    raw = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges-raw")
+    packed = raw.coalesce(raw.count() // PACK + 1).mapInArrow(_union_find, "a long, b long")
+    e = materialize(packed.where("a != b").distinct(), "edges-0")
+    discard(raw)
     for n in range(1, most_rounds + 1):
         if _is_star_forest(e):
             break

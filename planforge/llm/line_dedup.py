@@ -8,11 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernels as K
 from .banding import BUCKET_ROWS, PACKED_DDL, band_hashes, band_members, linked_classes, pack_bands, prefilter
-from .minhash import ROW, distinct, document_key
+from .minhash import distinct, document_key
 from .repeats import plan_bytes
 from .storage import materialize
 
@@ -46,10 +45,6 @@ class Lines:
         self.prefix = K.token_prefix(cps, raw=cps)
         self.node = K.range_hash(self.prefix, self.starts, self.ends).view(np.int64)
 
-    def second(self) -> np.ndarray:
-        """64 more bits of each line's hash."""
-        return K.range_hash(K.token_prefix(self.cps, salt=0, raw=self.cps), self.starts, self.ends).view(np.int64)
-
     def texts(self, which: np.ndarray) -> list[str]:
         raw = self.cps.tobytes()
         return [raw[4 * self.starts[i] : 4 * self.ends[i]].decode("utf-32-le") for i in which]
@@ -104,7 +99,7 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for c in K.chunks(batch.column(2)):
             lines = Lines(c)
             at = pa.array(c.first + lines.doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number), pa.array(lines.ends - lines.starts), pa.array(lines.node), pa.array(lines.second())], names=["id", "row", "line_no", "n_chars", "node", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number), pa.array(lines.ends - lines.starts), pa.array(lines.node)], names=["id", "row", "line_no", "n_chars", "node"])
 
 
 def _band_batches(buckets: int):
@@ -135,9 +130,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Marks one line of each group of similar lines, over all documents.
 
     Lines are what newlines separate, trimmed of spaces and lower-cased (A-Z);
-    lines without a word are not listed and stay.  Lines are equal if 128 bits
-    of hash are; of unequal lines that share the first 64 bits one stands for the
-    node, and the others are linked to nothing.  Lines are linked if their sets of 10-character shingles
+    lines without a word are not listed and stay.  Equal lines are one node
+    (64-bit hash, a digest for long lines).  Lines are linked if their sets of 10-character shingles
     have a Jaccard similarity of ``percent`` or more (a shorter line is one
     shingle); candidates come from MinHash bands (16 of 3 minima), every
     candidate is verified on the full sets, and components are found by local
@@ -149,8 +143,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     and empty texts have no lines.  A null id comes last.  Identical rows keep
     or lose the same lines.  Further columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    lines = materialize(base.mapInArrow(_line_batches, f"id long, row {ROW}, line_no long, n_chars long, node long, more long"), "lines")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col)["k1"].alias("row"), F.col(text_col).alias("text"))
+    lines = materialize(base.mapInArrow(_line_batches, "id long, row long, line_no long, n_chars long, node long"), "lines")
     only = base.select("text")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs, text_col) * BANDS // 200 // BUCKET_ROWS)
     members = band_members(only.mapInArrow(_band_batches(buckets), PACKED_DDL), buckets)
@@ -160,25 +154,24 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     named = linked_classes(members, texts, line_sets, percent=percent, block=BLOCK, what="lines")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "line_no")
-    first = materialize(lines.groupBy("node", "more").agg(F.min(place).alias("place")), "lines-first")
-    own = F.when(F.col("more") == F.min("more").over(Window.partitionBy("node")), F.coalesce("component", "node"))  # a node has one line, or a few that collide
-    classed = first.join(named, "node", "left").withColumn("component", own)
-    classed = materialize(classed.select("node", "more", "place", "component", F.when(F.col("component").isNull(), F.col("more")).alias("alone")), "lines-classed")
-    least = materialize(classed.groupBy("component", "alone").agg(F.min("place").alias("keep")), "lines-least")
-    same = classed["component"].eqNullSafe(least["component"]) & classed["alone"].eqNullSafe(least["alone"])
-    keep = materialize(classed.join(least, same).select("node", "more", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.col("keep.line_no").alias("keep_line")), "lines-keep")
-    kept = (F.col("row") == F.col("keep_row")) & (F.col("line_no") == F.col("keep_line"))
-    return lines.join(keep, ["node", "more"]).select(F.col("id").alias(id_col), F.col("row").alias("row_key"), "line_no", "n_chars", "keep_id", "keep_line", kept.alias("kept"))
+    first = materialize(lines.groupBy("node").agg(F.min(place).alias("place")), "lines-first")
+    classed = materialize(first.join(named, "node", "left").select("node", "place", F.coalesce("component", "node").alias("component")), "lines-classed")
+    least = materialize(classed.groupBy("component").agg(F.min("place").alias("keep")), "lines-least")
+    keep = materialize(classed.join(least, "component").select("node", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.col("keep.line_no").alias("keep_line")), "lines-keep")
+    kept = (F.col("row") == F.col("keep_row")) & (F.col("line_no") == F.col("keep_line")) & F.col("id").eqNullSafe(F.col("keep_id"))
+    return lines.join(keep, "node").select(F.col("id").alias(id_col), F.col("row").alias("row_key"), "line_no", "n_chars", "keep_id", "keep_line", kept.alias("kept"))
 
 
 def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the lines that :func:`dedup_lines` does not keep taken out of the text."""
-    gone = dedup_lines(docs, id_col=id_col, text_col=text_col, percent=percent).where("not kept").select("row_key", "line_no").distinct()
-    gone = gone.groupBy("row_key").agg(F.collect_set("line_no").alias("gone_lines"))  # a document's own lines
-    keyed = docs.withColumn("row_key", document_key(id_col, text_col)).join(gone, "row_key", "left")
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("gone_lines", i.cast("long")))
-    text = F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    return keyed.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    """``docs`` with the lines that :func:`dedup_lines` does not keep taken out of the text; rows are told apart by id and 64-bit key."""
+    gone = dedup_lines(docs, id_col=id_col, text_col=text_col, percent=percent).where("not kept").select(F.col(id_col).alias("gone_id"), "row_key", "line_no").distinct()
+    gone = gone.groupBy("gone_id", "row_key").agg(F.collect_set("line_no").alias("gone_lines"))  # a document's own lines
+    keyed = docs.withColumn("_key", document_key(id_col, text_col)["k1"]).alias("d")
+    same = F.col("_key").eqNullSafe(F.col("row_key")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("gone_id"))
+    keyed = keyed.join(gone, same, "left")
+    lines = F.filter(F.split(F.col(f"d.{text_col}"), "\n", -1), lambda line, i: ~F.array_contains("gone_lines", i.cast("long")))
+    text = F.when(F.col("gone_lines").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(lines, "\n"))
+    return keyed.select(*[text.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
