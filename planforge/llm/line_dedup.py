@@ -154,12 +154,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     named = linked_classes(members, texts, line_sets, percent=percent, block=BLOCK, what="lines")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "line_no")
-    first = materialize(lines.groupBy("node").agg(F.min(place).alias("place")), "lines-first")
-    classed = materialize(first.join(named, "node", "left").select("node", "place", F.coalesce("component", "node").alias("component")), "lines-classed")
-    least = materialize(classed.groupBy("component").agg(F.min("place").alias("keep")), "lines-least")
-    keep = materialize(classed.join(least, "component").select("node", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.col("keep.line_no").alias("keep_line")), "lines-keep")
-    kept = (F.col("row") == F.col("keep_row")) & (F.col("line_no") == F.col("keep_line")) & F.col("id").eqNullSafe(F.col("keep_id"))
-    return lines.join(keep, "node").select(F.col("id").alias(id_col), F.col("row").alias("row_key"), "line_no", "n_chars", "keep_id", "keep_line", kept.alias("kept"))
+    # a line that occurs once and is linked to none keeps itself: only the others are written and looked up
+    several = lines.groupBy("node").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).join(named, "node", "left").where("n > 1 or component is not null")
+    several = materialize(several.select("node", "place", F.coalesce("component", "node").alias("component")), "lines-several")
+    least = materialize(several.groupBy("component").agg(F.min("place").alias("keep")), "lines-least")
+    keep = materialize(several.join(least, "component").select("node", F.col("keep.id").alias("first_id"), F.col("keep.row").alias("first_row"), F.col("keep.line_no").alias("first_line")), "lines-keep")
+    alone = F.col("first_row").isNull()
+    same = (F.col("row") == F.col("first_row")) & (F.col("line_no") == F.col("first_line")) & F.col("id").eqNullSafe(F.col("first_id"))
+    keep_id, keep_line = (F.when(alone, F.col(a)).otherwise(F.col(b)) for a, b in (("id", "first_id"), ("line_no", "first_line")))
+    return lines.join(keep, "node", "left").select(F.col("id").alias(id_col), F.col("row").alias("row_key"), "line_no", "n_chars", keep_id.alias("keep_id"), keep_line.alias("keep_line"), (alone | same).alias("kept"))
 
 
 def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
