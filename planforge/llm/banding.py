@@ -40,15 +40,15 @@ def pack_bands(h: np.ndarray, node: np.ndarray, buckets: int) -> pa.RecordBatch:
     along beside, in a bucket drawn from the batch: a hot hash costs one entry
     per batch.
     """
-    order = np.lexsort((node, h))
+    order = np.argsort(h)
     h, node = h[order], node[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = h[1:] != h[:-1]
-    group = np.cumsum(new) - 1
-    lead = node[new][group] if len(h) else node
-    local = (lead != node)
-    local |= np.bincount(group, weights=local)[group] > 0 if len(h) else local
-    hs, ns = h[new], node[new]
+    start = np.flatnonzero(new)
+    hs, ns = h[start], np.minimum.reduceat(node, start) if len(h) else node
+    many = np.diff(start, append=len(h))
+    lead = np.repeat(ns, many)
+    local = np.repeat(many > 1, many)
     bucket = ((hs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     out = [(b, pack(np.diff(hs[i:j], prepend=np.uint64(0)), ns[i:j])) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
@@ -204,6 +204,30 @@ def _links(keys: list[np.ndarray], side: np.ndarray, label: np.ndarray, sig: np.
     return out
 
 
+def _near(keys: list[np.ndarray], me: int, sig: np.ndarray | None, percent: int, least: float) -> np.ndarray:
+    """Which sets are linked to the one at ``me``: sizes, signatures, then the exact intersections."""
+    size = np.array([len(k) for k in keys])
+    near = 100 * np.minimum(size, size[me]) >= percent * np.maximum(size, size[me])
+    near[me] = False
+    if sig is not None:
+        near &= (sig == sig[me]).mean(axis=1) >= least
+    at = np.flatnonzero(near & (size > 0))
+    if len(at):
+        mine, flat = np.sort(keys[me]), np.concatenate([keys[j] for j in at])
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        shared = np.add.reduceat(hit, np.cumsum(size[at]) - size[at], dtype=np.int64)
+        at = at[100 * shared >= percent * (size[at] + size[me] - shared)]
+    return at
+
+
+def _join_first(keys: list[np.ndarray], label: np.ndarray, sig: np.ndarray | None, percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after the first set's links, and one set of each label that those links join to it."""
+    at = _near(keys, 0, sig, percent, least)
+    joined, one = np.unique(label[at], return_index=True)
+    at = at[one[joined != label[0]]]
+    return np.where(np.isin(label, joined), label[0], label), at
+
+
 LINKS = "a long, b long"
 
 
@@ -231,10 +255,18 @@ def _compare(sets: Callable, percent: int, minima: int):
     def run(key, table):
         table = table.sort_by([("home", "ascending"), ("node", "ascending")])
         home, side, node, label = (table.column(c).to_numpy() for c in ("home", "side", "node", "label"))
+        label = label.copy()
         keys, sig = _sets_of(table, sets), _signatures_of(table, minima)
         cut = np.flatnonzero(np.diff(home, prepend=home[0] - 1, append=home[-1] + 1))
         a, b = [], []
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if not side[i:j].any():  # most homes are done by one comparison with their first node
+                label[i:j], found = _join_first(keys[i:j], label[i:j], None if sig is None else sig[i:j], percent, least)
+                a += [node[i]] * len(found)
+                b += node[i + found].tolist()
+                i += 1
+                if j - i < 2 or (label[i:j] == label[i - 1]).all():
+                    continue
             for x, y in _links(keys[i:j], side[i:j], label[i:j], None if sig is None else sig[i:j], percent, least):
                 a.append(node[i + x])
                 b.append(node[i + y])
@@ -251,15 +283,7 @@ def _follow(sets: Callable, percent: int, minima: int):
         leader, node = table.column("leader")[0].as_py(), table.column("node").to_numpy()
         keys, sig = _sets_of(table, sets), _signatures_of(table, minima)
         me = int(np.flatnonzero(node == leader)[0])
-        mine, size = np.sort(keys[me]), np.array([len(k) for k in keys])
-        near = (100 * np.minimum(size, size[me]) >= percent * np.maximum(size, size[me])) & (node != leader)
-        if sig is not None:
-            near &= (sig == sig[me]).mean(axis=1) >= least
-        got = []
-        for j in np.flatnonzero(near):
-            shared = int((mine[np.minimum(np.searchsorted(mine, keys[j]), len(mine) - 1)] == keys[j]).sum())
-            if 100 * shared >= percent * (size[me] + size[j] - shared):
-                got.append(int(node[j]))
+        got = node[_near(keys, me, sig, percent, least)]
         return pa.table({"a": pa.array(got, pa.int64()), "b": pa.array([leader] * len(got), pa.int64())})
 
     return run

@@ -45,9 +45,14 @@ class Lines:
         self.prefix = K.token_prefix(cps, raw=cps)
         self.node = K.range_hash(self.prefix, self.starts, self.ends).view(np.int64)
 
-    def texts(self, which: np.ndarray) -> list[str]:
-        raw = self.cps.tobytes()
-        return [raw[4 * self.starts[i] : 4 * self.ends[i]].decode("utf-32-le") for i in which]
+    def texts(self, which: np.ndarray) -> pa.Array:
+        """Texts of these lines, in ascending order: lines do not overlap, so their code points are cut out together."""
+        starts, ends = self.starts[which], self.ends[which]
+        points = self.cps[K.set_bits(len(self.cps), starts, ends)]
+        data = np.frombuffer(points.tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
+        place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each code point
+        offsets = place[np.concatenate([[0], np.cumsum(ends - starts)])]
+        return pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
 
 
 def _shingles(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +127,8 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for c in K.chunks(batch.column(0)):
             lines = Lines(c)
-            node, first = np.unique(lines.node, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(lines.texts(first), pa.string())], names=["node", "text"])
+            first = np.sort(np.unique(lines.node, return_index=True)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.node[first]), lines.texts(first)], names=["node", "text"])
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
