@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .components import components
 from .repeats import pack, unpack
-from .storage import materialize
+from .storage import discard, materialize
 
 BLOCK_BYTES = 16 << 20  # of texts in a block
 SIGNATURE_MARGIN = 5.5  # standard deviations below the threshold at which a signature still goes to the exact check
@@ -304,19 +304,30 @@ def _sized(known: DataFrame, block: int) -> tuple[DataFrame, int]:
     return sizes.select("home", "blocks"), max(total.n // block, total.bytes // BLOCK_BYTES) + 1
 
 
-def _leader_links(led: DataFrame, large: DataFrame, sets: Callable, percent: int, minima: int, block: int, what: str) -> DataFrame:
-    """Links of nodes with one leader each: the one that they share most bands with.
+LEADERS = "leader", "leader_parts", "parts"
 
-    A leader's followers are dealt to parts of about ``block`` nodes, and the
-    leader goes to each part: rows grow with the nodes, however large a group is.
-    """
+
+def _with_leaders(homes: DataFrame, led: DataFrame, block: int) -> DataFrame:
+    """``homes`` with each node's ``leader``, the one that it shares most bands with, and in how many parts of about ``block`` nodes
+    that leader's followers (``leader_parts``) and the node's own (``parts``) are dealt."""
     mine = led.groupBy("node").agg(F.min(F.struct((-F.col("shared")).alias("less"), "leader")).alias("m")).select("node", "m.leader")
-    mine = materialize(mine.join(large.select("node"), "node", "left_semi"), f"{what}-leaders")
-    parts = materialize(mine.groupBy("leader").agg(((F.count(F.lit(1)) + block - 1) / block).cast("int").alias("parts")), f"{what}-parts")
-    columns = [c for c in large.columns if c not in ("node", "home")]
-    followers = large.join(mine, "node").join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", *columns)
-    leaders = large.join(parts.withColumnRenamed("leader", "node"), "node").select(F.col("node").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", *columns)
-    return materialize(followers.unionByName(leaders).groupBy("leader", "part").applyInArrow(_follow(sets, percent, minima), LINKS), f"{what}-leader-links")
+    mine = materialize(mine, "leaders")
+    parts = materialize(mine.groupBy("leader").agg(F.expr(f"cast((count(1) + {block - 1}) div {block} as int)").alias("parts")), "leader-parts")
+    mine = mine.join(parts.withColumnRenamed("parts", "leader_parts"), "leader")
+    return homes.join(mine, "node", "left").join(parts.withColumnRenamed("leader", "node"), "node", "left")
+
+
+def _leader_links(large: DataFrame, sets: Callable, percent: int, minima: int, what: str) -> DataFrame:
+    """Links of nodes with their leaders (:func:`_with_leaders`).
+
+    A node goes to its part of its leader's followers, and to each part of its
+    own followers: rows grow with the nodes, however large a group is, and
+    texts are shuffled once.
+    """
+    own = F.expr("case when leader is not null then array(struct(leader, cast(pmod(xxhash64(node), leader_parts) as int) as part)) else array() end")
+    led_by = F.expr("case when parts is not null then transform(sequence(0, parts - 1), p -> struct(node as leader, p as part)) else array() end")
+    rows = large.select("node", *[c for c in ("text", "sig") if c in large.columns], F.explode(F.concat(own, led_by)).alias("to")).select("to.leader", "to.part", *[c for c in ("node", "text", "sig") if c in ("node", *large.columns)])
+    return materialize(rows.groupBy("leader", "part").applyInArrow(_follow(sets, percent, minima), LINKS), f"{what}-leader-links")
 
 
 def dealt_rows(known: DataFrame, block: int) -> tuple[DataFrame, int]:
@@ -363,21 +374,25 @@ def linked_classes(members: DataFrame, texts: Callable[[DataFrame, int], DataFra
     unless it is connected already, and only connecting links leave it.
     """
     homes, led = _homes(members, what)
+    homes = materialize(_with_leaders(homes, led, block), f"{what}-led-homes")
+    discard(led)
     known = texts(homes.select("node"), homes.count()).join(homes, "node")
     if nodes is not None:
         known = known.join(nodes, "node")
     known = materialize(known, f"{what}-texts")
     sizes, _ = _sized(known, block)
-    known = known.join(sizes, "home")
-    large = known.where("blocks > 1").drop("blocks")
-    small = known.where("blocks = 1").drop("blocks").withColumn("label", F.col("node"))
+    big = materialize(sizes.where("blocks > 1").select("home"), f"{what}-large-homes")  # at most one for ``block`` nodes
+    small = known.join(big, "home", "left_anti").drop(*LEADERS).withColumn("label", F.col("node"))
     links = []
-    if not large.isEmpty():
-        links.append(_leader_links(led, large, sets, percent, minima, block, what))
+    if not big.isEmpty():
+        large = known.join(big, "home", "left_semi")
+        links.append(_leader_links(large, sets, percent, minima, what))
         near = materialize(components(links[0]), f"{what}-near")
-        large = large.join(near, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        one = large.groupBy("home").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("home")
-        large = materialize(large.join(materialize(one, f"{what}-open"), "home", "left_semi"), f"{what}-large")
+        label = F.coalesce("component", "node").alias("label")
+        one = large.select("node", "home").join(near, "node", "left").groupBy("home").agg((F.min(label) != F.max(label)).alias("open")).where("open").select("home")
+        # only texts of homes that are not connected yet are shuffled again
+        large = large.drop(*LEADERS).join(materialize(one, f"{what}-open"), "home", "left_semi").join(near, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        large = materialize(large, f"{what}-large")
         buckets = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         fine = band_members(large.select("node", "text").mapInArrow(_send_fine(sets, buckets), PACKED_DDL), buckets)
         apart, _ = _homes(fine, f"{what}-fine")
