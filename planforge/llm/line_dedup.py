@@ -21,6 +21,7 @@ BLOCK = 1024  # lines that a task compares with each other
 MINIMA = ROWS * BANDS
 PERCENT = 80
 EMPTY = np.uint32(0xFFFFFFFF)
+CHUNK = 1 << 17  # bytes whose code points and hashes stay in a core's cache
 
 
 class Lines:
@@ -48,7 +49,10 @@ class Lines:
     def texts(self, which: np.ndarray) -> pa.Array:
         """Texts of these lines, in ascending order: lines do not overlap, so their code points are cut out together."""
         starts, ends = self.starts[which], self.ends[which]
-        points = self.cps[K.set_bits(len(self.cps), starts, ends)]
+        inside = np.zeros(len(self.cps) + 1, dtype=np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        points = self.cps[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
         data = np.frombuffer(points.tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
         place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each code point
         offsets = place[np.concatenate([[0], np.cumsum(ends - starts)])]
@@ -60,13 +64,16 @@ def _shingles(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     size = ends - starts
     n = np.maximum(size - SHINGLE + 1, 1)
     line = np.repeat(np.arange(len(starts)), n)
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + starts[line]
+    first = np.cumsum(n) - n
+    at = np.repeat(starts - first, n)
+    at += np.arange(len(at))
     grams = K.gram_hashes(prefix, SHINGLE)
     if not len(grams):
         return K.range_hash(prefix, starts, ends), line
-    h = grams[np.minimum(at, len(grams) - 1)]
     short = np.flatnonzero(size < SHINGLE)
-    h[(np.cumsum(n) - n)[short]] = K.range_hash(prefix, starts[short], ends[short])
+    at[first[short]] = 0  # may lie beyond the last gram
+    h = grams[at]
+    h[first[short]] = K.range_hash(prefix, starts[short], ends[short])
     return h, line
 
 
@@ -76,8 +83,14 @@ def one_permutation(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     Empty bins borrow from the next filled one, marked with the distance.
     """
     sig = np.full(lines * MINIMA, EMPTY, dtype=np.uint32)
-    place = ((h >> np.uint64(32)) * np.uint64(MINIMA)) >> np.uint64(32)
-    np.minimum.at(sig, line * MINIMA + place.astype(np.int64), np.minimum((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32), EMPTY - np.uint32(1)))
+    place = h >> np.uint64(32)
+    place *= np.uint64(MINIMA)
+    place >>= np.uint64(32)
+    place = place.view(np.int64)
+    place += line * MINIMA
+    value = h * np.uint64(0x9E3779B97F4A7C15)
+    value >>= np.uint64(32)
+    np.minimum.at(sig, place, np.minimum(value.astype(np.uint32), EMPTY - np.uint32(1)))
     sig = sig.reshape(lines, MINIMA)
     row, bin_ = np.nonzero(sig == EMPTY)
     source = sig.copy()
@@ -101,7 +114,7 @@ def line_sets(c: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for c in K.chunks(batch.column(2)):
+        for c in K.chunks(batch.column(2), CHUNK):
             lines = Lines(c)
             at = pa.array(c.first + lines.doc)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number), pa.array(lines.ends - lines.starts), pa.array(lines.node)], names=["id", "row", "line_no", "n_chars", "node"])
@@ -111,9 +124,9 @@ def _band_batches(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, node = [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, np.int64)]
-            for c in K.chunks(batch.column(0)):
+            for c in K.chunks(batch.column(0), CHUNK):
                 lines = Lines(c)
-                _, first = np.unique(lines.node, return_index=True)
+                first = np.sort(np.unique(lines.node, return_index=True)[1])  # in the order of the text
                 if len(first):
                     hashes, line = _shingles(lines.prefix, lines.starts[first], lines.ends[first])
                     h.append(band_hashes(one_permutation(hashes, line, len(first)), ROWS))
@@ -125,7 +138,7 @@ def _band_batches(buckets: int):
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for c in K.chunks(batch.column(0)):
+        for c in K.chunks(batch.column(0), CHUNK):
             lines = Lines(c)
             first = np.sort(np.unique(lines.node, return_index=True)[1])
             yield pa.RecordBatch.from_arrays([pa.array(lines.node[first]), lines.texts(first)], names=["node", "text"])
