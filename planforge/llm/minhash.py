@@ -137,3 +137,31 @@ def surplus_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2).drop("row_key")
+
+
+#: The same result from all documents that share a shingle, without hashes.
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[p : p + 1], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words), least(len(words) + 1, 2)))) AS p FROM texts)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT a AS doc_id, b AS other FROM ways
+  UNION
+  SELECT reached.doc_id, ways.b FROM reached JOIN ways ON ways.a = reached.other
+),
+least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(doc_id, other), doc_id) AS component_id, coalesce(least(doc_id, other), doc_id) = doc_id AS kept
+FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import minhash, mixing, substring_dedup, suffix_dedup, url_filter
 from .decontaminate import op5_decontaminate
 from .language import op7_language
 from .line_dedup import op1_line_dedup
@@ -28,5 +28,8 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op3_minhash": minhash.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }

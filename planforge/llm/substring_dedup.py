@@ -266,3 +266,20 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(docs).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same result from every window itself, its words joined by a space.
+ORACLE = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(words[p + 1 : p + 50], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 49, 0))) AS p FROM texts)
+),
+first_in AS (SELECT s, min(doc_id) AS owner FROM windows GROUP BY s),
+gone AS (SELECT doc_id, p FROM windows JOIN first_in USING (s) WHERE owner < doc_id),
+covered AS (SELECT DISTINCT doc_id, p + i AS p FROM (SELECT doc_id, p, unnest(range(0, 50)) AS i FROM gone)),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS p FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM placed ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""

@@ -160,3 +160,35 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same result from every 50-byte string itself, as hexadecimal text cut from pieces of 1,000 bytes.
+ORACLE = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+  SELECT doc_id, offs, substr(h, CAST(2 * offs + 1 AS BIGINT), 2098) AS piece
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 1000)) AS offs FROM texts)
+),
+strings AS (
+  SELECT doc_id, offs + i AS p, substr(piece, CAST(2 * i + 1 AS BIGINT), 100) AS s
+  FROM (SELECT doc_id, offs, piece, unnest(range(0, least(length(piece) // 2 - 49, 1000))) AS i FROM pieces)
+),
+first_in AS (SELECT s, min(doc_id) AS owner FROM strings GROUP BY s),
+gone AS (SELECT doc_id, p FROM strings JOIN first_in USING (s) WHERE owner < doc_id),
+marked AS (SELECT doc_id, p, coalesce(p > lag(p) OVER w + 50, true) AS new FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+numbered AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+spans AS (SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM numbered GROUP BY doc_id, span),
+borders AS (
+  SELECT doc_id, b, e FROM spans
+  UNION ALL SELECT doc_id, length(h) // 2, NULL FROM texts
+),
+gaps AS (SELECT doc_id, b, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b, e NULLS LAST), 0) AS a FROM borders),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a, b) AS k
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+),
+counts AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM texts JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
