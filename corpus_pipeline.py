@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planforge.llm.banding import split_by
 from planforge.llm.decontaminate import decontaminate
 from planforge.llm.language import UNKNOWN, held_out, predict_language, train_language
 from planforge.llm.minhash import document_key, surplus_rows
@@ -41,11 +42,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     surplus = materialize(surplus_rows(docs).withColumnRenamed("row_key", "_row"), "pipeline-duplicates")
     keyed = docs.withColumn("_row", document_key())
-    kept = keyed.join(surplus.drop("chosen"), "_row", "left_anti").select(*docs.columns)
+    kept = split_by(keyed, surplus, "_row")[1].select(*docs.columns)
     repeated = surplus.where("chosen").select("_row")
     if repeated.isEmpty():
         return kept
-    once = keyed.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("least"))
+    once = split_by(keyed, repeated, "_row")[0].groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("least"))
     return kept.union(once.select(*(F.col(f"least.{c}") for c in docs.columns)))
 
 
@@ -58,10 +59,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = docs.withColumn("_row", F.xxhash64("text"))
     leaks = materialize(decontaminate(keyed, bench, id_col="_row").select("_row").distinct(), "pipeline-leaks")
-    suspects = materialize(keyed.join(leaks, "_row", "left_semi").withColumn("_number", F.monotonically_increasing_id()), "pipeline-suspects")
+    leaky, others = split_by(keyed, leaks, "_row")
+    suspects = materialize(leaky.withColumn("_number", F.monotonically_increasing_id()), "pipeline-suspects")
     found = materialize(decontaminate(suspects, bench, id_col="_number").select("_number"), "pipeline-found")
     clean = suspects.join(found, "_number", "left_anti").select(*docs.columns)
-    return keyed.join(leaks, "_row", "left_anti").select(*docs.columns).union(clean)
+    return others.select(*docs.columns).union(clean)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

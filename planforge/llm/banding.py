@@ -126,6 +126,25 @@ def _answer(buckets: int):
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27  # of the bitmap: at most 2,097,152 words of 16 bytes are sent to each executor
 
 
+def _bitmap(needed: DataFrame, count: int, key: str) -> tuple[DataFrame, int] | None:
+    """Words (_word, _mask) of a bitmap with about eight bits for each of the ``count`` keys, and its size in bits; None if that is too many."""
+    bits_wanted = max(LEAST_BITS, 1 << (8 * count).bit_length())
+    if bits_wanted > 4 * MOST_BITS:
+        return None
+    size = min(bits_wanted, MOST_BITS)
+    place = F.pmod(F.xxhash64(key), F.lit(size))
+    bits = needed.select(place.alias("p")).groupBy(F.expr("p div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_mask"))
+    return materialize(bits, "filter-words"), size
+
+
+def _by_bitmap(df: DataFrame, words: DataFrame, size: int, key: str, hit: bool) -> DataFrame:
+    """The rows of ``df`` whose key's bit is set, or those whose bit is not."""
+    placed = df.withColumn("_place", F.pmod(F.xxhash64(key), F.lit(size))).withColumn("_word", F.expr("_place div 64"))
+    found = F.call_function("getbit", F.col("_mask"), F.expr("cast(_place % 64 as int)")) == 1
+    both = placed.join(F.broadcast(words), "_word", "inner" if hit else "left")  # MOST_BITS / 64 rows at most
+    return both.where(found if hit else ~F.coalesce(found, F.lit(False))).select(*df.columns)
+
+
 def prefilter(df: DataFrame, needed: DataFrame, count: int, key: str = "node") -> DataFrame:
     """Drops most rows of ``df`` whose key is not needed, before a join shuffles the rest.
 
@@ -134,16 +153,23 @@ def prefilter(df: DataFrame, needed: DataFrame, count: int, key: str = "node") -
     nothing, so the join must follow.  With more keys than ``MOST_BITS`` has
     room for the bitmap would keep nearly all rows, and none is made.
     """
-    bits_wanted = max(LEAST_BITS, 1 << (8 * count).bit_length())
-    if bits_wanted > 4 * MOST_BITS:
-        return df
-    size = min(bits_wanted, MOST_BITS)
-    place = F.pmod(F.xxhash64(key), F.lit(size))
-    bits = needed.select(place.alias("p")).groupBy(F.expr("p div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_mask"))
-    words = materialize(bits, "filter-words")
-    hit = F.call_function("getbit", F.col("_mask"), F.expr("cast(_place % 64 as int)")) == 1
-    placed = df.withColumn("_place", place).withColumn("_word", F.expr("_place div 64"))
-    return placed.join(F.broadcast(words), "_word").where(hit).select(*df.columns)  # MOST_BITS / 64 rows at most
+    bitmap = _bitmap(needed, count, key)
+    return df if bitmap is None else _by_bitmap(df, *bitmap, key, True)
+
+
+def split_by(df: DataFrame, listed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key is ``listed``, and all others.
+
+    Only rows whose bit of :func:`prefilter`'s bitmap is set are joined, and
+    so shuffled; a key without its bit is not listed.  The joins are no semi
+    or anti joins, which Spark would move before the bitmap's.
+    """
+    listed = listed.select(key).distinct()
+    bitmap = _bitmap(listed, listed.count(), key)
+    maybe = df if bitmap is None else _by_bitmap(df, *bitmap, key, True)
+    marked = maybe.join(listed.withColumn("_listed", F.lit(True)), key, "left")
+    found, others = (marked.where(c).select(*df.columns) for c in ("_listed", "_listed is null"))
+    return found, others if bitmap is None else _by_bitmap(df, *bitmap, key, False).union(others)
 
 
 PACKED_DDL = "bucket long, blob binary"

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as P
@@ -85,3 +86,33 @@ def test_nulls_in_other_columns_do_not_merge_rows(spark, data):
     assert Counter(tuple(r)[:5] for r in placed) == Counter(rows) and len({(r.shard, r.slot) for r in placed}) == 4
     once = [tuple(r) for r in P.near_dedup_stage(spark, docs, data).collect()]
     assert len(once) == 2 and set(once) <= set(rows)
+
+
+def _shuffled(spark, run):
+    """Bytes that the jobs of ``run`` write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())))
+    before = written()
+    run()
+    return written() - before
+
+
+def test_kept_texts_are_not_shuffled_where_no_table_is_small_enough_to_broadcast(spark, data):
+    """Near-duplicates and leaks are taken out without a shuffle of the texts that stay."""
+    rng = random.Random(5)
+    text = lambda: " ".join(f"{rng.getrandbits(60):x}" for _ in range(1500))
+    item = spark.read.parquet(f"{data}/benchmark.parquet").where("length(text) > 200").first().text
+    rows = [(i, text(), "en", "s", 1) for i in range(150)]
+    rows += [(1000 + i, f"{rows[i][1]} x", "en", "s", 1) for i in range(2)] + [rows[2], (2000, f"{item} {text()}", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).localCheckpoint()
+    size = sum(len(r[1]) for r in rows)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        for stage, want in ((P.near_dedup_stage, {*range(150), 2000}), (P.decontamination_stage, {*range(150), 1000, 1001})):
+            moved = _shuffled(spark, lambda: got.append(stage(spark, docs, data).collect()))  # noqa: B023
+            assert {r.doc_id for r in got[-1]} == want and moved < size / 3
+        assert len(got[0]) == 151 and len(got[1]) == 153
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
