@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,38 +25,55 @@ EMPTY = np.uint32(0xFFFFFFFF)
 CHUNK = 1 << 17  # bytes whose code points and hashes stay in a core's cache
 
 
+def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges without separators at their ends; one of separators alone is empty."""
+    for _ in range(4):  # few lines have more
+        loose = np.flatnonzero(starts < ends)
+        first, last = K.SEPARATOR[data[starts[loose]]], K.SEPARATOR[data[ends[loose] - 1]]
+        if not (first.any() or last.any()):
+            return starts, ends
+        starts[loose] += first
+        ends[loose] -= last & ~(first & (ends[loose] - starts[loose] < 1))
+    solid = np.flatnonzero(~K.SEPARATOR[data])
+    i, j = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    keep = np.flatnonzero(j > i)
+    ends[:] = starts
+    starts[keep], ends[keep] = solid[i[keep]], solid[j[keep] - 1] + 1
+    return starts, ends
+
+
 class Lines:
-    """The trimmed, lower-cased (A-Z) lines with a word of a chunk, as code points."""
+    """The trimmed, lower-cased (A-Z) lines with a word of a chunk, as ranges of bytes, each named by a digest."""
 
     def __init__(self, c: K.Chunk) -> None:
-        points = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
-        text = c.data.tobytes().decode("utf-8", "replace")
-        cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        cps = np.where((cps >= 65) & (cps <= 90), cps + np.uint32(32), cps)
-        starts, ends = points[c.starts], points[c.ends]
-        newline = np.flatnonzero(cps == 10)
-        at, to = np.sort(np.concatenate([starts, newline + 1]), kind="stable"), np.sort(np.concatenate([newline, ends]), kind="stable")
-        own = np.sort(np.concatenate([starts * 2 + 1, (newline + 1) * 2]), kind="stable") & 1  # a document's own first line comes after the last line of the one before
+        data = K.LOWER[c.data]
+        newline = np.flatnonzero(data == 10)
+        at, to = np.sort(np.concatenate([c.starts, newline + 1]), kind="stable"), np.sort(np.concatenate([newline, c.ends]), kind="stable")
+        own = np.sort(np.concatenate([c.starts * 2 + 1, (newline + 1) * 2]), kind="stable") & 1  # a document's own first line comes after the last line of the one before
         doc = np.cumsum(own) - 1
         number = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(c)))[doc] if len(doc) else doc
-        solid = np.flatnonzero(~((cps == 32) | ((cps >= 9) & (cps <= 13))))
-        i, j = np.searchsorted(solid, at), np.searchsorted(solid, to)
-        keep = j > i
-        self.cps, self.doc, self.number = cps, doc[keep], number[keep]
-        self.starts, self.ends = solid[i[keep]], solid[j[keep] - 1] + 1
-        self.prefix = K.token_prefix(cps, raw=cps)
-        self.node = K.range_hash(self.prefix, self.starts, self.ends).view(np.int64)
+        at, to = _trimmed(data, at, to)
+        keep = to > at
+        self.doc, self.number = doc[keep], number[keep]
+        self.starts, self.ends = at[keep], to[keep]
+        self.data, self.raw = data, data.tobytes()
+        digests = [xxhash.xxh3_64_intdigest(self.raw[x:y]) for x, y in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+        self.node = np.array(digests, dtype=np.uint64).view(np.int64)
+
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the lines start and end, in code points."""
+        inner = np.flatnonzero(self.data.view(np.int8) < -64)  # bytes 0x80 to 0xBF
+        return self.starts - np.searchsorted(inner, self.starts), self.ends - np.searchsorted(inner, self.ends)
+
+    def prefix(self) -> K.Prefix:
+        """Of the chunk's code points."""
+        cps = np.frombuffer(self.raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        return K.token_prefix(cps, raw=cps)
 
     def texts(self, which: np.ndarray) -> pa.Array:
-        """Texts of these lines, in ascending order: lines do not overlap, so their code points are cut out together."""
         starts, ends = self.starts[which], self.ends[which]
-        inside = np.zeros(len(self.cps) + 1, dtype=np.int8)
-        inside[starts] += 1
-        inside[ends] -= 1
-        points = self.cps[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
-        data = np.frombuffer(points.tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
-        place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each code point
-        offsets = place[np.concatenate([[0], np.cumsum(ends - starts)])]
+        data = b"".join([self.raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
         return pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
 
 
@@ -92,15 +110,14 @@ def one_permutation(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     value >>= np.uint64(32)
     np.minimum.at(sig, place, np.minimum(value.astype(np.uint32), EMPTY - np.uint32(1)))
     sig = sig.reshape(lines, MINIMA)
-    row, bin_ = np.nonzero(sig == EMPTY)
-    source = sig.copy()
-    for step in range(1, MINIMA):
-        if not len(row):
-            break
-        value = source[row, (bin_ + step) % MINIMA]
-        got = value != EMPTY
-        sig[row[got], bin_[got]] = value[got] * np.uint32(31) + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
-        row, bin_ = row[~got], bin_[~got]
+    some = np.flatnonzero((sig == EMPTY).any(axis=1))
+    own = sig[some]
+    filled = np.where(np.concatenate([own, own], axis=1) != EMPTY, np.arange(2 * MINIMA, dtype=np.int16), np.int16(2 * MINIMA))
+    source = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :MINIMA]  # each bin's next filled one, itself included
+    step = (source - np.arange(MINIMA, dtype=np.int16)).astype(np.uint32)
+    row, bin_ = np.nonzero((step > 0) & (source < 2 * MINIMA))
+    own[row, bin_] = own[row, source[row, bin_] % MINIMA] * np.uint32(31) + step[row, bin_] * np.uint32(0x9E3779B1)
+    sig[some] = own
     return sig
 
 
@@ -116,8 +133,8 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for c in K.chunks(batch.column(2), CHUNK):
             lines = Lines(c)
-            at = pa.array(c.first + lines.doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number), pa.array(lines.ends - lines.starts), pa.array(lines.node)], names=["id", "row", "line_no", "n_chars", "node"])
+            at, (starts, ends) = pa.array(c.first + lines.doc), lines.points()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number), pa.array(ends - starts), pa.array(lines.node)], names=["id", "row", "line_no", "n_chars", "node"])
 
 
 def _band_batches(buckets: int):
@@ -128,7 +145,8 @@ def _band_batches(buckets: int):
                 lines = Lines(c)
                 first = np.sort(np.unique(lines.node, return_index=True)[1])  # in the order of the text
                 if len(first):
-                    hashes, line = _shingles(lines.prefix, lines.starts[first], lines.ends[first])
+                    starts, ends = lines.points()
+                    hashes, line = _shingles(lines.prefix(), starts[first], ends[first])
                     h.append(band_hashes(one_permutation(hashes, line, len(first)), ROWS))
                     node.append(lines.node[first])
             yield pack_bands(np.concatenate(h).ravel(), np.repeat(np.concatenate(node), BANDS), buckets)
@@ -149,7 +167,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Lines are what newlines separate, trimmed of spaces and lower-cased (A-Z);
     lines without a word are not listed and stay.  Equal lines are one node
-    (64-bit hash, a digest for long lines).  Lines are linked if their sets of 10-character shingles
+    (a 64-bit digest).  Lines are linked if their sets of 10-character shingles
     have a Jaccard similarity of ``percent`` or more (a shorter line is one
     shingle); candidates come from MinHash bands (16 of 3 minima), every
     candidate is verified on the full sets, and components are found by local

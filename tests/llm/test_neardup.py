@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from planforge.llm import banding, line_dedup, minhash
@@ -158,3 +159,21 @@ def test_bands_and_signatures_estimate_similarity():
     sig = minhash.signatures(h, first)
     assert abs((sig[0] == sig[1]).mean() - 360 / 440) < 0.12
     assert (banding.band_hashes(sig, 4)[0] == banding.band_hashes(sig, 4)[1]).any()
+
+
+def test_lines_are_named_and_cut_out_by_bytes(nasty_texts, monkeypatch):
+    """Two of the three passes over the texts need no code points and no prefix sums; their lines are those of a split."""
+
+    def never(*args, **kwargs):
+        raise AssertionError("prefix sums are for shingles only")
+
+    monkeypatch.setattr(line_dedup.K, "token_prefix", never)
+    space = " \t\n\v\f\r"
+    texts = [t for _, t in nasty_texts] + ["É\x85 X\n\n ünï\t\n", "\n", "😀 a\r\n \t \v\f\r \n      😀 A       ", "   \n\n" * 9 + "x", "a\n" + " " * 20]
+    want = [(i, n, x.strip(space).translate(LOWER)) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x.strip(space)]
+    column = pa.array(texts)
+    at = pa.array(range(len(texts)), pa.int64())
+    lines = [r for b in line_dedup._line_batches(iter([pa.RecordBatch.from_arrays([at, at, column], names=["id", "row", "text"])])) for r in b.to_pylist()]
+    assert [(r["id"], r["line_no"], r["n_chars"]) for r in lines] == [(i, n, len(x)) for i, n, x in want]
+    text = {r["node"]: r["text"] for b in line_dedup._text_batches(iter([pa.RecordBatch.from_arrays([column], names=["text"])])) for r in b.to_pylist()}
+    assert [text[r["node"]] for r in lines] == [x for _, _, x in want] and len(text) == len(set(text.values()))
