@@ -113,7 +113,9 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc
     for part, n, bytes_ in sums:  # one row per partition of the order
         starts.append((part, rows, total))
         rows, total = rows + n, total + bytes_
-    table = docs.sparkSession.createDataFrame(starts, "part long, rows_before long, bytes_before long")
+    # by Arrow: a list would be read by Python workers of its own kind, beside those of mapInArrow on each executor
+    names = ("part", "rows_before", "bytes_before")
+    table = docs.sparkSession.createDataFrame(pa.table({n: pa.array(np.array([s[i] for s in starts], np.int64)) for i, n in enumerate(names)}))
     placed = placed.join(F.broadcast(table), "part").withColumn("at", F.col("row") + F.col("rows_before")).withColumn("from", F.col("before") + F.col("bytes_before"))
     whole = F.col("g_bytes") * (shards * WHOLE_GROUP) < max(total, 1)
     edges = materialize(placed.where(whole).groupBy("g1", "g2").agg(F.min("from").alias("g_from")), "shard-edges")

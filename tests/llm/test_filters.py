@@ -270,6 +270,17 @@ def test_shards_are_near_equal_and_keep_groups(spark):
     assert per_text.where(F.col("b") * 8 * 200 < sum(sums)).agg(F.max("s")).first()[0] == 1
 
 
+def test_sharding_needs_no_workers_beside_those_of_arrow(spark, monkeypatch):
+    """A list made a table runs as an RDD of its own, whose Python workers stay on every executor beside the others."""
+    docs = spark.range(50).selectExpr("id as doc_id", "repeat('word ', cast(id as int)) as text", "'en' as lang", "'s' as source")
+    monkeypatch.setattr("pyspark.SparkContext.parallelize", lambda *a, **b: pytest.fail("a list was sent to Python workers"))
+    rows = shard_documents(docs).collect()
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r.slot)
+    assert {r.doc_id for r in rows} == set(range(50)) and all(sorted(g) == list(range(len(g))) for g in shards.values())
+
+
 def test_hilbert_curve_is_a_walk():
     n = 8
     cells = np.stack(np.meshgrid(*[np.arange(n)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
